@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import hot_keys, quarantine, regular_grid
-from tidemark.session import table
+from tidemark.operators import hot_keys, quarantine, regular_grid, schema_drift, small_files
+from tidemark.session import cut_lineage, scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+#: The column of file_columns that says whether a column is a tag, a field or the time.
+ROLE = "influxdb_type"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -143,3 +145,95 @@ def p3_grid(spark: SparkSession, d: str) -> DataFrame:
     """Every window of every source with its value and whether it was observed, interpolated or left as a gap."""
     grid = regular_grid.regular_grid(table(spark, d, "readings"), table(spark, d, "window_requests"))
     return grid.select("request_id", "host", "window_stop", "state", F.round("value", 9).alias("value"))
+
+
+# 4. Schemas that drift between files
+
+
+def _ordered(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.ordered_files(table(spark, d, "parquet_files"), table(spark, d, "file_columns"), ROLE)
+
+
+_P4 = f"""
+WITH c AS (
+  SELECT DISTINCT file_id, ordinal, column_name AS name, column_type AS t, {ROLE} AS r FROM file_columns
+), f AS (
+  SELECT *, row_number() OVER (PARTITION BY db_name, table_name ORDER BY version, creation_timestamp, file_id) AS n
+  FROM (SELECT DISTINCT db_name, table_name, file_id, version, creation_timestamp FROM parquet_files WHERE file_id IN (SELECT file_id FROM c))
+), p AS (
+  SELECT a.db_name, a.table_name, a.file_id, a.n, b.file_id AS prev FROM f a JOIN f b ON a.db_name = b.db_name AND a.table_name = b.table_name AND a.n = b.n + 1
+), fresh AS (
+  SELECT p.*, c.ordinal, c.name, c.t, c.r FROM p JOIN c ON c.file_id = p.file_id
+  WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.file_id = p.prev AND o.name = c.name)
+), gone AS (
+  SELECT p.*, c.ordinal, c.name, c.t, c.r FROM p JOIN c ON c.file_id = p.prev
+  WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.file_id = p.file_id AND o.name = c.name)
+), moved AS (
+  SELECT fresh.file_id, fresh.name, gone.name AS old FROM fresh JOIN gone USING (file_id, ordinal)
+  WHERE fresh.t IS NOT DISTINCT FROM gone.t AND fresh.r IS NOT DISTINCT FROM gone.r
+)
+SELECT DISTINCT file_id, column_name, change FROM (
+  SELECT p.file_id, c.name AS column_name, 'retyped' AS change FROM p JOIN c ON c.file_id = p.file_id JOIN c o ON o.file_id = p.prev AND o.name = c.name
+  WHERE c.t IS DISTINCT FROM o.t OR c.r IS DISTINCT FROM o.r
+  UNION ALL SELECT file_id, name, CASE WHEN (file_id, name) IN (SELECT (file_id, name) FROM moved) THEN 'renamed' ELSE 'added' END FROM fresh
+  UNION ALL SELECT file_id, name, 'removed' FROM gone WHERE (file_id, name) NOT IN (SELECT (file_id, old) FROM moved)
+)
+"""
+
+
+@query(_P4)
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.schema_changes(_ordered(spark, d)).select("file_id", "column_name", "change").distinct()
+
+
+@query("""
+SELECT file_id, k AS path, CASE json_type(json_extract(record, '$."' || k || '"')) WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT'
+  WHEN 'NULL' THEN 'VOID' ELSE json_type(json_extract(record, '$."' || k || '"')) END AS raw_type, count(*) AS n_values
+FROM (SELECT file_id, record, unnest(json_keys(record)) AS k FROM file_records) GROUP BY ALL
+""")
+def p4_path_types(spark: SparkSession, d: str) -> DataFrame:
+    """How often each path held each raw type, by file."""
+    pairs = schema_drift.path_values(table(spark, d, "file_records"))
+    return schema_drift.path_statistics(pairs).withColumnRenamed("values", "n_values")
+
+
+@query()
+def p4_consistent(spark: SparkSession, d: str) -> DataFrame:
+    """Every record in its table's consistent columns, with the values that could not be cast."""
+    ordered = _ordered(spark, d)
+    columns = schema_drift.lineages(ordered, schema_drift.schema_changes(ordered))
+    return schema_drift.consistent_rows(table(spark, d, "file_records"), columns)
+
+
+# 5. Far too many small files
+
+_P5 = """
+WITH f AS (SELECT DISTINCT * FROM parquet_files),
+done AS (SELECT DISTINCT db_name, table_name, partition_key, unnest(chunks) AS chunk_id FROM compactions WHERE finished_at IS NOT NULL),
+live AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY db_name, table_name, partition_key, chunk_id ORDER BY creation_timestamp DESC, file_id DESC) AS k FROM f)
+  WHERE k = 1 AND (db_name, table_name, partition_key, chunk_id) NOT IN (SELECT (db_name, table_name, partition_key, chunk_id) FROM done)
+), small AS (
+  SELECT *, count(*) OVER (PARTITION BY db_name, table_name, partition_key) AS n FROM live WHERE file_bytes < 1048576
+)
+"""
+
+
+@query(_P5 + "SELECT file_id FROM small WHERE n > 1")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    live = small_files.live_files(table(spark, d, "parquet_files"), table(spark, d, "compactions"))
+    return small_files.merge_plan(live).select("file_id").distinct()
+
+
+@query(_P5 + """
+SELECT db_name, table_name, partition_key, CAST(count(DISTINCT small.file_id) AS BIGINT) AS merged_files, count(r.row_no) AS n_rows
+FROM small LEFT JOIN file_records r ON r.file_id = small.file_id WHERE n > 1 GROUP BY ALL HAVING count(r.row_no) > 0
+""")
+def p5_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Merge the small files for real into the shared folder, publish the manifest, and report it by partition."""
+    live = small_files.live_files(table(spark, d, "parquet_files"), table(spark, d, "compactions"))
+    plan, records, out = cut_lineage(small_files.merge_plan(live)), table(spark, d, "file_records"), scratch_path(spark, "merged")
+    manifest = cut_lineage(small_files.merge_records(plan, records, out))
+    manifest = spark.read.parquet(small_files.publish(manifest, plan, records, out))
+    rows = manifest.groupBy(*small_files.PARTITION).agg(F.sum("n_rows").alias("n_rows"))
+    return plan.groupBy(*small_files.PARTITION).agg(F.count(F.lit(1)).alias("merged_files")).join(rows, small_files.PARTITION)
