@@ -84,7 +84,9 @@ def merge_plan(live: DataFrame, small: int = SMALL, target: int = TARGET) -> Dat
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    if uri.startswith("file:/") or "://" not in uri:  # Hadoop writes file:/a where pyarrow expects file:///a
+        uri = "file:///" + uri.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
 
 
 def _open(root: str, name: str, schema: pa.Schema) -> tuple[pq.ParquetWriter, str, str]:
