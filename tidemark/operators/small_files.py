@@ -128,7 +128,7 @@ def merge_records(plan: DataFrame, records: DataFrame, out_dir: str) -> DataFram
                 part = batch.slice(start, end - start)
                 writer.write_table(pa.Table.from_batches([part.select(kept.names)]).cast(kept))
                 n += part.num_rows
-                mark = (mark + sum(part.column(part.schema.get_field_index("_mark")).to_pylist())) % (1 << 63)
+                mark = (mark + sum(part.column(part.schema.get_field_index("_mark")).to_pylist())) % (1 << 62)
         close()
         if made:
             yield pa.RecordBatch.from_pylist([dict(zip((*PARTITION, "group_id", "path", "n_rows", "mark"), m, strict=True)) for m in made])
@@ -145,7 +145,7 @@ def expected_marks(plan: DataFrame, records: DataFrame) -> DataFrame:
     """Rows and checksum of each group, from the records as they are."""
     marks = records.select("file_id", F.xxhash64("file_id", "row_no", "record").alias("m")).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("m").cast("decimal(38,0)")).alias("m"))
     summed = plan.join(marks, "file_id").groupBy(*PARTITION, "group_id").agg(F.sum("n").alias("want_rows"), F.sum("m").alias("m"))
-    return summed.select(*PARTITION, "group_id", "want_rows", F.pmod("m", F.lit(1 << 63).cast("decimal(38,0)")).cast("bigint").alias("want_mark"))
+    return summed.select(*PARTITION, "group_id", "want_rows", F.pmod("m", F.lit(1 << 62).cast("decimal(38,0)")).cast("bigint").alias("want_mark"))
 
 
 def publish(manifest: DataFrame, plan: DataFrame, records: DataFrame, out_dir: str) -> str:
