@@ -28,6 +28,8 @@ BUCKET = 3_600_000_000_000
 BLOCK = 4096
 #: Spread of one table and bucket over several join keys.
 SALTS = 4
+#: Requests with no more bucket rows than this (some 100 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 50_000
 
 
 def _requests(requests: DataFrame) -> DataFrame:
@@ -44,9 +46,13 @@ def window_values(readings: DataFrame, requests: DataFrame, source: str = "host"
     asked = _requests(requests)
     floor = lambda t: int_div(t - F.pmod(t, F.lit(BUCKET)), BUCKET)
     buckets = F.sequence(floor(c("range_start")), floor(c("range_end") - 1))
-    left = asked.select("*", F.explode(buckets).alias("bucket")).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    # Spark estimates an exploded side by its size before; its true size decides here whether readings are shuffled.
+    wide = asked.agg(F.sum(floor(c("range_end") - 1) - floor(c("range_start")) + 1)).first()[0] or 0
+    salts = 1 if wide <= BROADCAST_ROWS else SALTS
+    left = asked.select("*", F.explode(buckets).alias("bucket")).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    left = F.broadcast(left) if salts == 1 else left.hint("merge")
     rows = readings.select("db_name", "table_name", c(source).alias("source"), "time", c("value").cast("double").alias("value"), "seq").filter(c("source").isNotNull() & c("time").isNotNull())
-    rows = rows.withColumn("bucket", floor(c("time"))).withColumn("salt", F.pmod(F.xxhash64("source", "time"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("bucket", floor(c("time"))).withColumn("salt", F.pmod(F.xxhash64("source", "time"), F.lit(salts)).cast("int"))
     met = rows.join(left, ["db_name", "table_name", "bucket", "salt"]).filter((c("time") >= c("range_start")) & (c("time") < c("range_end")))
     at = window_start(c("time"), c("window_every"), c("window_offset"))
     # A point written again counts once, with its last non-null value.
@@ -82,14 +88,14 @@ def regular_grid(readings: DataFrame, requests: DataFrame, source: str = "host",
     of = Window.partitionBy("request_id", "source")
     back, ahead = of.orderBy("block").rowsBetween(Window.unboundedPreceding, -1), of.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     held = lambda name, w: F.last(name, ignorenulls=True).over(w)
-    blocks = blocks.join(ends, ["request_id", "source", "block"], "left").select(
+    blocks = blocks.join(ends.hint("merge"), ["request_id", "source", "block"], "left").select(
         *blocks.columns, held("bl_time", back).alias("before_time"), held("bl_value", back).alias("before_value"), held("bf_time", ahead).alias("after_time"), held("bf_value", ahead).alias("after_value")
     )
 
     # Inside blocks: the sorted grid, carried forwards and backwards.
     steps = F.expr(f"sequence(block * {BLOCK}, least(windows, (block + 1) * {BLOCK}) - 1)")
     grid = blocks.withColumn("step", F.explode(steps)).withColumn("w", c("w0") + c("step") * c("window_every"))
-    grid = grid.join(values, ["request_id", "source", "w"], "left")
+    grid = grid.join(values.hint("merge"), ["request_id", "source", "w"], "left")
     inside = Window.partitionBy("request_id", "source", "block")
     back, ahead = inside.orderBy("w").rowsBetween(Window.unboundedPreceding, -1), inside.orderBy(F.desc("w")).rowsBetween(Window.unboundedPreceding, -1)
     near = lambda name, w, other: F.coalesce(held(name, w), c(other))
