@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import leakage
+from tidemark.llm import leakage, sentences
 from tidemark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,3 +33,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_alignments(spark: SparkSession, d: str) -> DataFrame:
     """Copies and edited copies with their longest run and alignment score."""
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+# 8. Sentence boundaries across languages and scripts
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))
