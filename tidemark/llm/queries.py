@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import leakage, sentences
+from tidemark.llm import leakage, packing, sentences
 from tidemark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,22 @@ def query(f: Query) -> Query:
     return f
 
 
+# 6. Filling fixed-capacity containers with items
+
+
+@query
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Document (or piece) and container, for each capacity."""
+    return packing.containers(table(spark, d, "documents"), table(spark, d, "capacities"))
+
+
+@query
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, items, conflicts and the share of space used, for each capacity."""
+    capacities = table(spark, d, "capacities")
+    return packing.fill(packing.containers(table(spark, d, "documents"), capacities), capacities)
+
+
 # 7. Evaluation texts leaking into training text
 
 
