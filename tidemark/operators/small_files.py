@@ -73,14 +73,42 @@ def merge_plan(live: DataFrame, small: int = SMALL, target: int = TARGET) -> Dat
     lists = F.ceil(c("_files") / SUBLIST)
     dealt = placed.withColumn("_list", F.pmod("position", lists)).select(*PARTITION, "file_id", "file_bytes", "_list")
 
-    def schedule(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pdf["file_bytes"].tolist()
-        groups = longest_first(sizes, max(1, math.ceil(sum(sizes) / target)))
-        pdf["group_id"] = [f"{n}-{g}" for n, g in zip(pdf["_list"], groups, strict=True)]
-        return pdf.drop(columns="_list")
-
+    tasks = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_lists = dealt.repartition(tasks, *PARTITION, "_list").sortWithinPartitions(*PARTITION, "_list")
     schema = dealt.drop("_list").schema.add("group_id", "string")
-    return dealt.groupBy(*PARTITION, "_list").applyInPandas(schedule, schema)
+    return sorted_lists.mapInArrow(_schedule(target), schema)
+
+
+def _schedule(target: int):  # noqa: ANN202
+    """Sublists come one after the other; each is scheduled as it ends. Many are tiny, so they are not grouped by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def placed() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            sizes = whole.column("file_bytes").to_pylist()
+            groups = longest_first(sizes, max(1, math.ceil(sum(sizes) / target)))
+            names = [f"{key[-1]}-{g}" for g in groups]
+            return whole.drop_columns(["_list"]).append_column("group_id", pa.array(names, pa.string())).to_batches()[0]
+
+        for batch in batches:
+            out = []
+            keys = list(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in (*PARTITION, "_list")), strict=True))
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for start, end in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if keys[start] != key:
+                    if held:
+                        out.append(placed())
+                    held, key = [], keys[start]
+                held.append(batch.slice(start, end - start))
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+        if held:
+            yield placed()
+
+    return run
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
