@@ -18,6 +18,8 @@ for ordinary text; positions are code points of the text as given, end exclusive
 
 from __future__ import annotations
 
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -27,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 #: Least share of a word in all counted words for an entry in the corpus statistics.
 LEAST_SHARE = 1e-5
 
@@ -67,6 +71,12 @@ ADDRESS = regex.compile(
     r"|\b[\w-]+(?:\.[\w-]+)+/[\w./?=&%#+-]*"
 )
 THAI = regex.compile(r"(?<=\p{Thai})[  　​⁠]*[  　][  　​⁠]*(?=\p{Thai})")
+MARK = regex.compile("[" + regex.escape(MARKS) + "]")
+OPENER = regex.compile("[\"'" + regex.escape("".join(OPEN)) + "]")
+INNER = regex.compile(r"[\w/:]\.[\w/]|[:.]//")
+#: "3. " or "3) " at the start of a line, where no digit follows.
+LIST_NUMBER = regex.compile(rf"{WHITE}*\d{{1,3}}[.．、)]{WHITE}*(?=[^\s\d])")
+QUOTE_END = regex.compile(r"'(?![\p{L}\p{N}])")
 CASED = regex.compile(r"\p{Lu}")
 LOWER = regex.compile(r"\p{Ll}")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
@@ -184,56 +194,42 @@ class Splitter:
     # Cuts of one line
 
     def _cuts(self, s: str) -> list[int]:
-        self.fixed = [m.span() for m in ADDRESS.finditer(s)] if "." in s else []
-        spaces = {m.start(): m.end() for m in THAI.finditer(s)} if THAI.search(s) else {}
+        self.fixed = [m.span() for m in ADDRESS.finditer(s)] if INNER.search(s) or "@" in s else []
+        spaces = {} if s.isascii() else {m.start(): m.end() for m in THAI.finditer(s)}
         cuts: list[int] = []
         quotes = self._quotes(s)
         emoji = {} if s.isascii() else {m.start(): m.end() for m in EMOJI.finditer(s)}
-        i, n, begin = 0, len(s), self._skip(s, 0)
-        marker = regex.match(rf"{WHITE}*(?:[-*•·–—]{WHITE}+)?(?:\d{{1,3}}|\p{{L}})[.．、)]{WHITE}*", s)
-        if marker and marker.end() < n and regex.match(r"\s*\d{1,3}[.．、)]", s) and not (marker.end() < n and s[marker.end()].isdigit()):
-            i = marker.end()  # the number of a list entry
-        address = 0
-        while i < n:
-            c = s[i]
-            while address < len(self.fixed) and self.fixed[address][1] <= i:
-                address += 1
-            if address < len(self.fixed) and self.fixed[address][0] <= i:
-                end = self.fixed[address][1]
-                i = end
+        places = sorted({m.start() for m in MARK.finditer(s)} | spaces.keys() | quotes.keys() | emoji.keys())
+        i, begin, address = 0, self._skip(s, 0), 0
+        if LIST_NUMBER.match(s):
+            i = LIST_NUMBER.match(s).end()  # the number of a list entry
+        for at in places:
+            if at < i:
                 continue
-            if i in spaces:
-                cuts.append(i)
-                i = begin = spaces[i]
+            while address < len(self.fixed) and self.fixed[address][1] <= at:
+                address += 1
+            if address < len(self.fixed) and self.fixed[address][0] <= at:
+                i = self.fixed[address][1]
                 continue
-            if i in quotes:
-                close = quotes[i]
-                end = self._after_quote(s, i, close, begin)
+            if at in spaces:
+                end = at
+            elif at in quotes:
+                i = quotes[at] + 1
+                end = self._after_quote(s, at, quotes[at], begin)
                 if end is None:
-                    i = close + 1
-                else:
-                    cuts.append(end)
-                    i = begin = self._skip(s, end)
-                continue
-            emoji = EMOJI.match(s, i) if c > " " else None
-            if emoji:
-                end = self._tail(s, emoji.end())
-                cuts.append(end)
-                i = begin = self._skip(s, end)
-                continue
-            if c not in MARKS:
-                i += 1
-                continue
-            stop = i + 1
-            while stop < n and s[stop] in MARKS:
-                stop += 1
-            self.begin = begin
-            if self._ends(s, i, stop, begin):
-                end = self._tail(s, stop)
-                cuts.append(end)
-                i = begin = self._skip(s, end)
+                    continue
+            elif at in emoji:
+                end = self._tail(s, emoji[at])
             else:
-                i = stop
+                i = at + 1
+                while i < len(s) and s[i] in MARKS:
+                    i += 1
+                self.begin = begin
+                if not self._ends(s, at, i, begin):
+                    continue
+                end = self._tail(s, i)
+            cuts.append(end)
+            i = begin = self._skip(s, end)
         return cuts
 
     @staticmethod
@@ -252,7 +248,7 @@ class Splitter:
             if j == end and s[j] in CLOSE and not (s[j] in OPEN and j in self.opened):
                 end = j + 1
                 continue
-            m = EMOJI.match(s, j) or EMOTICON.match(s, j)
+            m = EMOTICON.match(s, j) if s[j] in ":;=8xX<^)(¯" else None if s[j].isalnum() else EMOJI.match(s, j)
             if m:
                 end = m.end()
                 continue
@@ -269,32 +265,41 @@ class Splitter:
         """Opening place of each outermost quotation or bracket of the line, and the place that closes it."""
         found: dict[int, int] = {}
         self.opened = set()
-        i, n = 0, len(s)
-        while i < n:
-            c = s[i]
-            close = -1
+        pairs: dict[str, dict[int, int]] = {}
+        singles: list[int] | None = None
+        i = 0
+        for m in OPENER.finditer(s):
+            at, c, close = m.start(), m.group(), -1
+            if at < i:
+                continue
             if c == '"':
-                close = s.find('"', i + 1)
-            elif c == "'" and (i == 0 or not (s[i - 1].isalnum())) and i + 1 < n and s[i + 1].isalnum():
-                m = regex.compile(r"'(?![\p{L}\p{N}])").search(s, i + 1)
-                close = m.start() if m and m.start() - i > 2 else -1
-            elif c in OPEN and not (c == "»" and regex.search("«[^»]*$", s[:i])) and not (EMOTICON.match(s, max(0, i - 1)) or EMOTICON.match(s, max(0, i - 2))):
-                depth, j = 1, i + 1
-                while j < n:
-                    if s[j] in OPEN[c]:
-                        depth -= 1
-                        if not depth:
-                            close = j
-                            break
-                    elif s[j] == c:
-                        depth += 1
-                    j += 1
-            if close > i:
-                found[i] = close
-                self.opened.add(i)
+                close = s.find('"', at + 1)
+            elif c == "'":
+                if (at == 0 or not s[at - 1].isalnum()) and s[at + 1 : at + 2].isalnum():
+                    if singles is None:
+                        singles = [e.start() for e in QUOTE_END.finditer(s)]
+                    k = bisect_right(singles, at)
+                    close = singles[k] if k < len(singles) and singles[k] - at > 2 else -1
+            elif not (c == "»" and s.rfind("«", 0, at) > s.rfind("»", 0, at)) and not (EMOTICON.match(s, max(0, at - 1)) or EMOTICON.match(s, max(0, at - 2))):
+                if c not in pairs:
+                    pairs[c] = self._pairs(s, c)
+                close = pairs[c].get(at, -1)
+            if close > at:
+                found[at] = close
+                self.opened.add(at)
                 i = close + 1
-            else:
-                i += 1
+        return found
+
+    @staticmethod
+    def _pairs(s: str, c: str) -> dict[int, int]:
+        """Where each quotation or bracket opened by ``c`` is closed on the line, in one pass."""
+        stack: list[int] = []
+        found: dict[int, int] = {}
+        for m in regex.finditer("[" + regex.escape(c + OPEN[c]) + "]", s):
+            if m.group() == c and c not in OPEN[c]:
+                stack.append(m.start())
+            elif stack:
+                found[stack.pop()] = m.start()
         return found
 
     def _next_word(self, s: str, i: int) -> str:
@@ -320,7 +325,7 @@ class Splitter:
         nxt = s[j]
         if nxt in ",;:،、，；：)—–-" or nxt in MARKS:
             return None
-        before = s[begin:i].rstrip()
+        before = s[max(begin, i - 80) : i].rstrip()
         if end > close + 1 and EMOJI.search(s[close + 1 : end]):
             return end
         if s[i] in BRACKETS:
@@ -358,7 +363,7 @@ class Splitter:
     def _token(self, s: str, i: int) -> str:
         """The token of the current sentence that ends before ``i``, with the periods inside it."""
         j = i
-        while j > self.begin and (s[j - 1].isalnum() or s[j - 1] in ".'’-" or "̀" <= s[j - 1] <= "ͯ" or regex.match(r"\p{M}", s[j - 1])):
+        while j > self.begin and (s[j - 1].isalnum() or s[j - 1] in ".'’-" or not s[j - 1].isascii() and unicodedata.category(s[j - 1])[0] == "M"):
             j -= 1
         return s[j:i].lstrip(".'’-")
 
@@ -423,7 +428,7 @@ class Splitter:
         return False
 
     def _sentence_length(self, s: str, i: int) -> int:
-        return len(s[:i].split()[-4:])
+        return len(s[max(0, i - 80) : i].split()[-4:])
 
     def _period(self, s: str, i: int, stop: int, j: int, begin: int) -> bool:
         before, after = s[i - 1] if i else "", s[stop] if stop < len(s) else ""
@@ -443,7 +448,7 @@ class Splitter:
             if nxt.isupper() and len(token) > 2 and low not in ("z.b", "d.h", "e.g", "i.e") and not self._abbreviates(low) and self._ordinary(self._next_word(s, k)) and self._count("plain", low):
                 return True
             return False
-        unit = regex.search(r"\p{N}\s?$", s[: i - len(token)]) is not None
+        unit = s[max(0, i - len(token) - 2) : i - len(token)].rstrip()[-1:].isdigit()
         if len(token) == 1 and token.isalpha() and not unit and (token.isupper() or not self.cased):
             # An initial, unless an ordinary word begins after it.
             single = self._initial(s, i, begin)
@@ -543,8 +548,9 @@ def statistics(texts: DataFrame, least_share: float = LEAST_SHARE) -> dict[str,
     counts = texts.mapInArrow(_collect, "kind string, word string, n bigint").groupBy("word").agg(
         *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in KINDS], F.sum("n").alias("n")
     )
-    whole = counts.select(F.sum("n").alias("n"))
-    kept = counts.filter(F.col("n") >= F.ceil(whole.scalar() * least_share))
+    counts = cut_lineage(counts)
+    whole = counts.agg(F.sum("n")).first()[0] or 0
+    kept = counts.filter(F.col("n") >= whole * least_share)
     table: dict[str, dict[str, int]] = {k: {} for k in KINDS}
     for row in kept.collect():
         for k in KINDS:
