@@ -4,10 +4,12 @@ Records are read as path-value pairs that keep their raw JSON type, and path-typ
 are put in order by a distributed sort, so that each is compared with the one before it by an equi-join on position,
 however many files a table has. Renames link the spans in which a name is present into lineages (by pointer doubling);
 all columns of a lineage become one column, projected to its latest declared type, and every value that cannot be cast
-is reported and left null.
+is reported and left null. A path that its file does not declare takes the nearest declaration of its name in the table.
 
-Defined cases: files without declared columns are left out of the comparison; repeated rows count once; null records
-and records that are no JSON object have no pairs; nested values are kept as JSON text; names are compared exactly.
+Defined cases: files without declared columns are left out of the comparison, but their records are in the table;
+repeated rows count once; null and empty records keep a row without values; a record that is no JSON object, and a path
+that no file of the table declares, are reported with their text; nested values are kept as JSON text; names are
+compared exactly.
 """
 
 from __future__ import annotations
@@ -67,15 +69,26 @@ def schema_changes(ordered: DataFrame) -> DataFrame:
     return changes.select(*TABLE, "file_id", "position", "x.column_name", "x.old_name", "x.change")
 
 
-def path_values(records: DataFrame) -> DataFrame:
-    """(file_id, row_no, path, raw_type, value): one row per path of a record; value is text, null for a JSON null."""
-    parsed = records.select("file_id", "row_no", F.try_parse_json("record").alias("v"))
-    objects = parsed.filter(F.schema_of_variant("v").startswith("OBJECT"))
-    pairs = objects.lateralJoin(objects.sparkSession.tvf.variant_explode(F.col("v").outer()))
+def path_values(records: DataFrame, every: bool = False) -> DataFrame:
+    """(file_id, row_no, path, raw_type, value): one row per path of a record; value is text, null for a JSON null.
+
+    With ``every``, a record without a path keeps one row whose path is null; if it is no JSON object, its text is the
+    value, of the type UNREADABLE.
+    """
+    parsed = records.select("file_id", "row_no", "record", F.try_parse_json("record").alias("v"))
+    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    if every:
+        objects = parsed.select("file_id", "row_no", F.when(is_object, F.col("v")).alias("v"), F.when(~is_object, F.col("record")).alias("unread"))
+        pairs = objects.lateralJoin(objects.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
+    else:
+        objects = parsed.filter(is_object)
+        pairs = objects.lateralJoin(objects.sparkSession.tvf.variant_explode(F.col("v").outer()))
     kind = F.schema_of_variant("value")
     nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
     text = F.when(nested, F.to_json("value")).when(kind != "VOID", F.try_variant_get("value", "$", "string"))
     raw = F.when(nested, F.substring_index(kind, "<", 1)).when(kind.startswith("DECIMAL") , "DOUBLE").otherwise(kind)
+    if every:
+        raw, text = F.when(F.col("unread").isNotNull(), "UNREADABLE").otherwise(raw), F.coalesce("unread", text)
     return pairs.select("file_id", "row_no", F.col("key").alias("path"), raw.alias("raw_type"), text.alias("value"))
 
 
@@ -85,7 +98,8 @@ def path_statistics(pairs: DataFrame) -> DataFrame:
 
 
 def lineages(ordered: DataFrame, changes: DataFrame, rounds: int = 64) -> DataFrame:
-    """(db_name, table_name, file_id, name, column, target): the consistent column and type of each name in each file.
+    """(db_name, table_name, file_id, name, start, column, target): the consistent column and type of each name in each
+    file, and the position at which the name's span starts.
 
     A span starts where a name is added or renamed (or in the first file). A rename leads from the span that ends to
     the one that starts; following these links to their last span gives the column's name and its latest type.
@@ -123,18 +137,48 @@ def lineages(ordered: DataFrame, changes: DataFrame, rounds: int = 64) -> DataFr
     latest = named.groupBy(*TABLE, "column").agg(F.max_by("target", "since").alias("target"))
     whole = state.join(named.drop("target"), [*TABLE, "last"]).join(latest, [*TABLE, "column"])
     whole = whole.select(*TABLE, c("node.name").alias("name"), c("node.start").alias("start"), "column", "target")
-    return spanned.join(whole, [*TABLE, "name", "start"]).select(*TABLE, "file_id", "name", "column", "target")
+    return spanned.join(whole, [*TABLE, "name", "start"]).select(*TABLE, "file_id", "name", "start", "column", "target")
+
+
+def _tables(files: DataFrame) -> DataFrame:
+    """(db_name, table_name, file_id, place): every file, with or without declared columns; place sorts them in order."""
+    return files.groupBy(*TABLE, "file_id").agg(F.min(F.struct("version", "creation_timestamp", "file_id")).alias("place"))
 
 
-def consistent_rows(records: DataFrame, columns: DataFrame) -> DataFrame:
+def undeclared(pairs: DataFrame, files: DataFrame, columns: DataFrame) -> DataFrame:
+    """(file_id, name, column, target) of the paths that records hold and their files do not declare.
+
+    A path takes the column of the latest span of its name that starts in a file before its own, else of the first one
+    after. It is left out if no file of the table declares the name, or if its file has that column under another name.
+    """
+    c = F.col
+    held = pairs.filter(c("path").isNotNull()).select("file_id", c("path").alias("name")).distinct()
+    placed = _tables(files)
+    alone = held.join(columns, ["file_id", "name"], "left_anti").join(placed, "file_id")
+    spans = columns.join(placed, [*TABLE, "file_id"]).groupBy(*TABLE, "name", "start", "column", "target").agg(F.min("place").alias("since"))
+    # Spans per name are few; they meet as an array.
+    by_name = spans.groupBy(*TABLE, "name").agg(F.array_sort(F.collect_list(F.struct("since", "start", "column", "target"))).alias("spans"))
+    near = alone.join(by_name, [*TABLE, "name"])
+    before = F.filter("spans", lambda s: s["since"] < c("place"))
+    near = near.withColumn("near", F.when(F.size(before) > 0, F.element_at(before, -1)).otherwise(c("spans")[0]))
+    near = near.select("file_id", "name", c("near.column").alias("column"), c("near.target").alias("target"), c("near.since").alias("since"))
+    one = near.groupBy("file_id", "column").agg(F.max_by(F.struct("name", "target"), F.struct("since", "name")).alias("x"))
+    one = one.join(columns.select("file_id", "column"), ["file_id", "column"], "left_anti")
+    return one.select("file_id", c("x.name").alias("name"), "column", c("x.target").alias("target"))
+
+
+def consistent_rows(records: DataFrame, files: DataFrame, columns: DataFrame) -> DataFrame:
     """One row per record: ``values``, a map from consistent column to its value in the column's type (as text), and
     ``failed``, the columns whose raw value could not be cast, with that value.
 
-    ``columns`` is the result of :func:`lineages`. A path that its file does not declare is not part of the table.
+    ``columns`` is the result of :func:`lineages`. ``failed`` also holds the paths :func:`undeclared` finds no column
+    for (with the type UNDECLARED) and records that are no JSON object. The table of a file that is not in ``files``
+    is null.
     """
     c = F.col
-    pairs = path_values(records)
-    typed = pairs.join(columns, (pairs.file_id == columns.file_id) & (pairs.path == columns.name)).select(pairs.file_id, "row_no", *TABLE, "column", "target", "raw_type", "value")
+    known = columns.select("file_id", "name", "column", "target").unionByName(undeclared(path_values(records), files, columns))
+    pairs = path_values(records, every=True)
+    typed = pairs.join(known.withColumnRenamed("name", "path"), ["file_id", "path"], "left")
     cast = F.lit(None).cast("string")
     for declared, kind in SPARK_TYPES.items():
         whole = F.when(c("value").rlike(r"^[-+]?[0-9]+([.]0*)?$"), c("value").try_cast("decimal(38,0)")) if kind in ("bigint", "decimal(20,0)") else c("value")
@@ -142,10 +186,12 @@ def consistent_rows(records: DataFrame, columns: DataFrame) -> DataFrame:
         cast = F.when(c("target") == declared, done.cast("string")).otherwise(cast)
     typed = typed.withColumn("cast", cast)
     lost = c("value").isNotNull() & c("cast").isNull()
-    return typed.groupBy(*TABLE, "file_id", "row_no").agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", "cast"))))).alias("values"),
-        F.array_join(F.array_sort(F.collect_list(F.when(lost, F.concat_ws(" ", "column", "target", "raw_type", "value")))), "; ").alias("failed"),
+    place = F.when(c("column").isNotNull(), F.concat_ws(" ", "column", "target")).when(c("path").isNotNull(), F.concat_ws(" ", "path", F.lit("UNDECLARED")))
+    whole = typed.groupBy("file_id", "row_no").agg(
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.when(c("column").isNotNull(), F.struct("column", "cast")))))).alias("values"),
+        F.array_join(F.array_sort(F.collect_list(F.when(lost, F.concat_ws(" ", place, "raw_type", "value")))), "; ").alias("failed"),
     )
+    return whole.join(_tables(files).drop("place"), "file_id", "left").select(*TABLE, "file_id", "row_no", "values", "failed")
 
 
 def wide_table(rows: DataFrame, columns: DataFrame, db: str, name: str) -> DataFrame:

@@ -202,7 +202,7 @@ def p4_consistent(spark: SparkSession, d: str) -> DataFrame:
     """Every record in its table's consistent columns, with the values that could not be cast."""
     ordered = _ordered(spark, d)
     columns = schema_drift.lineages(ordered, schema_drift.schema_changes(ordered))
-    return schema_drift.consistent_rows(table(spark, d, "file_records"), columns)
+    return schema_drift.consistent_rows(table(spark, d, "file_records"), table(spark, d, "parquet_files"), columns)
 
 
 # 5. Far too many small files
