@@ -1,0 +1,36 @@
+"""Edited copies of evaluation texts are found, whichever words are changed."""
+
+import pytest
+
+from tidemark.llm import leakage
+from tidemark.session import local_session
+
+ITEM = [f"w{n}" for n in range(60)]
+
+
+def changed(words, every, first):
+    return " ".join("other" if i % every == first else w for i, w in enumerate(words))
+
+
+@pytest.fixture(scope="module")
+def spark():
+    session = local_session(2, 2)
+    yield session
+    session.stop()
+
+
+def found(spark, texts):
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "en", " ".join(ITEM))], "eval_id long, lang string, text string")
+    return {r.doc_id: r for r in leakage.leaks(documents, items).collect()}
+
+
+def test_copy_changed_every_seventh_word(spark):
+    rows = found(spark, ["nothing of the kind", changed(ITEM, 7, 3)])
+    assert [(r.doc_id, r.kind) for r in rows.values()] == [(1, "edited")]
+
+
+def test_exact_copies_alone(spark):
+    documents = spark.createDataFrame([(1, changed(ITEM, 7, 0)), (2, " ".join(ITEM[20:31]))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "en", " ".join(ITEM))], "eval_id long, lang string, text string")
+    assert [(r.doc_id, r.kind) for r in leakage.leaks(documents, items, edited=False).collect()] == [(2, "copy")]

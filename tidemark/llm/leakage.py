@@ -7,6 +7,8 @@ For each block:
 2. Every run of ``min_run`` units of an item is covered by the rarest of the n-grams inside it; these rare n-grams are
    the seeds. A document that holds such a run holds its seed, so no copy can be missed, while common wording (which
    items share) rarely makes a candidate.
+   A changed word may fall into just these rare n-grams, so for edited copies every n-gram of an item that some document
+   holds is a seed too: an edited copy is met if one n-gram of it is unchanged.
 3. A second pass joins documents to items on the seeds. Each match is extended to its whole run, and the surroundings
    are aligned with the item by Smith-Waterman, which scores edited and paraphrased copies.
 
@@ -91,14 +93,16 @@ class Side:
         found = [self.hashes(ids) for _, ids in self.items]
         self.grams = np.unique(np.concatenate(found)) if found else self.grams
 
-    def choose(self, documents: dict[int, int]) -> None:
-        """Seeds: of every window of ``min_run`` units, its rarest n-gram."""
+    def choose(self, documents: dict[int, int], edited: bool = True) -> None:
+        """Seeds: of every window of ``min_run`` units, its rarest n-gram; for edited copies, all that documents hold."""
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         width = self.rule.min_run - self.rule.gram + 1
         for item, (_, ids) in enumerate(self.items):
             h = self.hashes(ids)
             cost = np.array([documents.get(int(x), 0) for x in h])
             chosen = {int(w + np.argmin(cost[w : w + width])) for w in range(len(h) - width + 1)}
+            if edited:
+                chosen.update(np.flatnonzero(cost).tolist())
             for at in chosen:
                 places[int(h[at])].append((item, at))
         self.seeds = np.array(sorted(places), np.uint64)
@@ -180,6 +184,16 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int =
     return best
 
 
+def _most(a: np.ndarray, b: np.ndarray, match: int = 2, miss: int = -1) -> int:
+    """No alignment of ``a`` with ``b`` scores more: a unit gains ``match`` only if the other side holds it at all, and
+    costs at least a miss or gap in the stretch otherwise."""
+    most = []
+    for one, other in ((a, b), (b, a)):
+        sums = np.cumsum(np.where(np.isin(one, other) & (one != 0), match, miss))
+        most.append(int((sums - np.minimum.accumulate(np.concatenate([[0], sums[:-1]]))).max()) if len(sums) else 0)
+    return min(most)
+
+
 def _run_length(a: np.ndarray, i: int, b: np.ndarray, j: int) -> tuple[int, int]:
     """Start in ``a`` and length of the run of equal units around ``a[i]``, ``b[j]``."""
     back = min(i, j)
@@ -191,7 +205,7 @@ def _run_length(a: np.ndarray, i: int, b: np.ndarray, j: int) -> tuple[int, int]
     return i - before, before + after
 
 
-def _match(sides: tuple[Side, Side]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _match(sides: tuple[Side, Side], least_score: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def of(batch: pa.RecordBatch) -> Iterator[tuple]:
         for side, ids, starts in _documents(batch, sides):
             if not len(side.seeds):
@@ -207,7 +221,9 @@ def _match(sides: tuple[Side, Side]) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 for item, j in side.places[s]:
                     hits[doc, item].append((place, j))
             for (doc, item), found in hits.items():
-                yield doc, *_judge(side, ids, int(starts[doc]), int(starts[doc + 1]) - 1, item, found)
+                judged = _judge(side, ids, int(starts[doc]), int(starts[doc + 1]) - 1, item, found, least_score)
+                if judged:
+                    yield doc, *judged
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("doc_id", "eval_id", "run", "run_start", "score", "align_end", "kind")
@@ -221,16 +237,20 @@ def _match(sides: tuple[Side, Side]) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-def _judge(side: Side, ids: np.ndarray, start: int, end: int, item: int, found: list[tuple[int, int]]) -> tuple:
+def _judge(side: Side, ids: np.ndarray, start: int, end: int, item: int, found: list[tuple[int, int]], least_score: float) -> tuple | None:
     """(eval_id, run, run_start, score, align_end, kind) of one document and item: the longest run, and the best alignment of
-    the stretches in which a seed lies at its place in the item."""
+    the stretches in which a seed lies at its place in the item. None if no alignment can reach ``least_score``."""
     eval_id, units = side.items[item]
     text = ids[start:end]
     run, at = 0, 0
     stretches: list[list[int]] = []
+    passed: dict[int, int] = {}  # diagonal -> end of the last run seen on it
     for place, j in sorted(found):
         i = place - start
+        if i < passed.get(i - j, 0):
+            continue
         first, length = _run_length(text, i, units, j)
+        passed[i - j] = first + length
         if length > run:
             run, at = length, first
         low, high = max(0, i - j - len(units) // 2), min(len(text), i - j + len(units) + len(units) // 2)
@@ -238,31 +258,37 @@ def _judge(side: Side, ids: np.ndarray, start: int, end: int, item: int, found:
             stretches[-1][1] = max(stretches[-1][1], high)
         else:
             stretches.append([low, high])
+    copy = run >= side.rule.min_run
+    if not copy:
+        stretches = [[low, high] for low, high in stretches if _most(text[low:high], units) >= 2 * least_score * side.rule.min_run]
+        if not stretches:
+            return None
     best, ends = 0, 0
     for low, high in stretches:
         score, i, _ = smith_waterman(text[low:high], units)
         if score > best:
             best, ends = score, low + i
-    return eval_id, run, at, best / (2 * len(units)), ends, "copy" if run >= side.rule.min_run else "edited"
+    return eval_id, run, at, best / (2 * len(units)), ends, "copy" if copy else "edited"
 
 
-def leaks(documents: DataFrame, items: DataFrame, words: Rule = WORDS, letters: Rule = LETTERS, least_score: float = 0.5) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, words: Rule = WORDS, letters: Rule = LETTERS, least_score: float = 0.5, edited: bool = True) -> DataFrame:
     """One row per document and item that meet in a seed and are a copy or an edited copy.
 
     Columns: doc_id, eval_id, ``run`` (units of the item in a row), ``run_start`` (its place among the document's
     units), ``score`` (Smith-Waterman, of the whole item's), ``align_end``, and ``kind``: ``copy`` if the run has
-    ``min_run`` units, else ``edited`` if the score is ``least_score`` or more.
+    ``min_run`` units, else ``edited`` if the score is ``least_score`` or more. Without ``edited`` only copies are
+    sought, which needs fewer seeds.
     """
     if not (words.gram <= words.min_run and letters.gram <= letters.min_run):
         raise ValueError("an n-gram must not be longer than the run it seeks")
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [_block(texts, block, words, letters) for block in _blocks(items)]
+    parts = [_block(texts, block, words, letters, edited, least_score) for block in _blocks(items)]
     if not parts:
         return texts.limit(0).select("doc_id", *[F.lit(None).cast(k).alias(n) for n, k in (("eval_id", "bigint"), ("run", "int"), ("run_start", "int"), ("score", "double"), ("align_end", "int"), ("kind", "string"))])
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    return whole.filter((F.col("kind") == "copy") | (F.col("score") >= least_score))
+    return whole.filter((F.col("kind") == "copy") | (F.col("score") >= least_score if edited else F.lit(False)))
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None, str | None]]]:
@@ -280,12 +306,12 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None, str | None
         yield block
 
 
-def _block(texts: DataFrame, block: list[tuple], words: Rule, letters: Rule) -> DataFrame:
+def _block(texts: DataFrame, block: list[tuple], words: Rule, letters: Rule, edited: bool, least_score: float) -> DataFrame:
     sides = _sides(block, words, letters)
     counts = texts.mapInArrow(_count(sides), "side int, gram bigint, documents bigint").groupBy("side", "gram").agg(F.sum("documents").alias("documents"))
     held: tuple[dict[int, int], dict[int, int]] = ({}, {})
     for side, gram, n in counts.collect():  # no more rows than n-grams of the block
         held[side][gram % (1 << 64)] = n
     for side, documents in zip(sides, held, strict=True):
-        side.choose(documents)
-    return texts.mapInArrow(_match(sides), "doc_id bigint, eval_id bigint, run int, run_start int, score double, align_end int, kind string")
+        side.choose(documents, edited)
+    return texts.mapInArrow(_match(sides, least_score), "doc_id bigint, eval_id bigint, run int, run_start int, score double, align_end int, kind string")
