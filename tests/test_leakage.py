@@ -30,6 +30,13 @@ def test_copy_changed_every_seventh_word(spark):
     assert [(r.doc_id, r.kind) for r in rows.values()] == [(1, "edited")]
 
 
+def test_edited_part_of_an_item(spark):
+    part = changed(ITEM[20:40], 7, 3)
+    rows = found(spark, ["nothing of the kind", "before it " + part + " after it", "w1 w2 w3 w4 alone"])
+    assert [(r.doc_id, r.kind) for r in rows.values()] == [(1, "edited")]
+    assert rows[1].score < 0.5 <= rows[1].stretch_score and rows[1].stretch == 20
+
+
 def test_exact_copies_alone(spark):
     documents = spark.createDataFrame([(1, changed(ITEM, 7, 0)), (2, " ".join(ITEM[20:31]))], "doc_id long, text string")
     items = spark.createDataFrame([(1, "en", " ".join(ITEM))], "eval_id long, lang string, text string")

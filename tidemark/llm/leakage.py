@@ -184,6 +184,33 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int =
     return best
 
 
+def _stretch(a: np.ndarray, b: np.ndarray, least_score: float, least_length: int, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, float]:
+    """Of the alignment that ends with ``a`` and ``b``: length and score (of 1) of its longest stretch of ``least_length``
+    or more that scores ``least_score``; of the whole alignment, if there is none."""
+    rows = [np.zeros(len(b) + 1, np.int64)]
+    steps = np.arange(1, len(b) + 1) * -gap
+    for unit in a:
+        step = np.maximum(rows[-1][:-1] + np.where((b == unit) & (unit != 0), match, mismatch), rows[-1][1:] + gap)
+        step = np.maximum.accumulate(np.maximum(step, 0) + steps) - steps
+        rows.append(np.concatenate([[0], np.maximum(step, 0)]))
+    i, j, scores = len(a), len(b), []
+    while i and j and rows[i][j] > 0:
+        score = match if a[i - 1] == b[j - 1] != 0 else mismatch
+        if rows[i][j] == rows[i - 1][j - 1] + score:
+            i, j = i - 1, j - 1
+        else:
+            score = gap
+            i, j = (i - 1, j) if rows[i][j] == rows[i - 1][j] + gap else (i, j - 1)
+        scores.append(score)
+    sums = np.concatenate([[0], np.cumsum(scores)])
+    over = sums - np.arange(len(sums)) * (match * least_score)
+    for length in range(len(scores), least_length - 1, -1):
+        starts = np.flatnonzero(over[length:] >= over[: len(over) - length])
+        if len(starts):
+            return length, float(sums[starts[0] + length] - sums[starts[0]]) / (match * length)
+    return len(scores), float(sums[-1]) / (match * max(1, len(scores)))
+
+
 def _most(a: np.ndarray, b: np.ndarray, match: int = 2, miss: int = -1) -> int:
     """No alignment of ``a`` with ``b`` scores more: a unit gains ``match`` only if the other side holds it at all, and
     costs at least a miss or gap in the stretch otherwise."""
@@ -226,19 +253,19 @@ def _match(sides: tuple[Side, Side], least_score: float) -> Callable[[Iterator[p
                     yield doc, *judged
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("doc_id", "eval_id", "run", "run_start", "score", "align_end", "kind")
+        names = ("doc_id", "eval_id", "run", "run_start", "score", "align_end", "kind", "stretch", "stretch_score")
         for batch in batches:
             keys = batch.column(0).to_pylist()
             rows = [dict(zip(names, (keys[doc], *rest), strict=True)) for doc, *rest in of(batch)]
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.string())
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.string(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(zip(names, kinds, strict=True))))
 
     return run
 
 
 def _judge(side: Side, ids: np.ndarray, start: int, end: int, item: int, found: list[tuple[int, int]], least_score: float) -> tuple | None:
-    """(eval_id, run, run_start, score, align_end, kind) of one document and item: the longest run, and the best alignment of
+    """(eval_id, run, run_start, score, align_end, kind, stretch, stretch_score) of one document and item: the longest run, and the best alignment of
     the stretches in which a seed lies at its place in the item. None if no alignment can reach ``least_score``."""
     eval_id, units = side.items[item]
     text = ids[start:end]
@@ -263,20 +290,30 @@ def _judge(side: Side, ids: np.ndarray, start: int, end: int, item: int, found:
         stretches = [[low, high] for low, high in stretches if _most(text[low:high], units) >= 2 * least_score * side.rule.min_run]
         if not stretches:
             return None
-    best, ends = 0, 0
+    need = 2 * least_score * side.rule.min_run
+    best, ends, stretch, share, fits = 0, 0, 0, 0.0, False
     for low, high in stretches:
-        score, i, _ = smith_waterman(text[low:high], units)
-        if score > best:
-            best, ends = score, low + i
-    return eval_id, run, at, best / (2 * len(units)), ends, "copy" if copy else "edited"
+        score, i, j = smith_waterman(text[low:high], units)
+        if not score or score < need and not copy:
+            continue
+        # A path with a score above 0 has no more than two gaps for each unit of the item.
+        length, part = _stretch(text[max(low, low + i - 3 * j) : low + i], units[:j], least_score, side.rule.min_run)
+        good = length >= side.rule.min_run and part >= least_score or score >= 2 * least_score * len(units)
+        if (good, score) > (fits, best):
+            best, ends, stretch, share, fits = score, low + i, length, part, good
+    if not (copy or fits):
+        return None
+    return eval_id, run, at, best / (2 * len(units)), ends, "copy" if copy else "edited", stretch, share
 
 
 def leaks(documents: DataFrame, items: DataFrame, words: Rule = WORDS, letters: Rule = LETTERS, least_score: float = 0.5, edited: bool = True) -> DataFrame:
     """One row per document and item that meet in a seed and are a copy or an edited copy.
 
     Columns: doc_id, eval_id, ``run`` (units of the item in a row), ``run_start`` (its place among the document's
-    units), ``score`` (Smith-Waterman, of the whole item's), ``align_end``, and ``kind``: ``copy`` if the run has
-    ``min_run`` units, else ``edited`` if the score is ``least_score`` or more. Without ``edited`` only copies are
+    units), ``score`` (Smith-Waterman, of the whole item's), ``align_end``, ``kind``, ``stretch`` (units of the aligned
+    stretch) and ``stretch_score`` (its score, of the same number of equal units). The kind is ``copy`` if the run has
+    ``min_run`` units, else ``edited`` if a stretch of ``min_run`` units or more scores ``least_score`` of its own
+    length, however long the item, or the score of the whole item is as much. Without ``edited`` only copies are
     sought, which needs fewer seeds.
     """
     if not (words.gram <= words.min_run and letters.gram <= letters.min_run):
@@ -284,11 +321,11 @@ def leaks(documents: DataFrame, items: DataFrame, words: Rule = WORDS, letters:
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = [_block(texts, block, words, letters, edited, least_score) for block in _blocks(items)]
     if not parts:
-        return texts.limit(0).select("doc_id", *[F.lit(None).cast(k).alias(n) for n, k in (("eval_id", "bigint"), ("run", "int"), ("run_start", "int"), ("score", "double"), ("align_end", "int"), ("kind", "string"))])
+        return texts.limit(0).select("doc_id", *[F.lit(None).cast(k).alias(n) for n, k in (("eval_id", "bigint"), ("run", "int"), ("run_start", "int"), ("score", "double"), ("align_end", "int"), ("kind", "string"), ("stretch", "int"), ("stretch_score", "double"))])
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    return whole.filter((F.col("kind") == "copy") | (F.col("score") >= least_score if edited else F.lit(False)))
+    return whole if edited else whole.filter(F.col("kind") == "copy")
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None, str | None]]]:
@@ -314,4 +351,4 @@ def _block(texts: DataFrame, block: list[tuple], words: Rule, letters: Rule, edi
         held[side][gram % (1 << 64)] = n
     for side, documents in zip(sides, held, strict=True):
         side.choose(documents, edited)
-    return texts.mapInArrow(_match(sides, least_score), "doc_id bigint, eval_id bigint, run int, run_start int, score double, align_end int, kind string")
+    return texts.mapInArrow(_match(sides, least_score), "doc_id bigint, eval_id bigint, run int, run_start int, score double, align_end int, kind string, stretch int, stretch_score double")
