@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held.rsplit("/", 1)[0] if _is_context_dir(held) else held.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="tidemark-shared-")
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return f"file://{own}"
@@ -53,6 +55,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def enough_tasks(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, dealt over more tasks if it has fewer input splits than there are cores.
+
+    Work in Python on a few unsplittable files would leave most cores idle. Such an input is no larger than that few
+    splits, so dealing it out is cheap; a larger one is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores // 2 else df.repartition(cores)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, with its file system's scheme."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
