@@ -8,9 +8,12 @@ conflict-constrained best-fit, largest first:
   sources it holds;
 * the search starts at the bins with the least sufficient space and goes on to the next larger residual until it meets
   a bin without a text of the item's cluster; among bins of one residual those without the item's source come first;
-* if every bin that fits holds a copy, the item opens a new bin only while there are fewer bins than the total length
-  needs (plus ``SLACK``); beyond that it shares the tightest bin, marked as a conflict. Little unused space comes first:
-  a text copied to a third of the rows cannot have a container for each copy.
+* if every bin that fits holds a copy, the item opens a new bin. Only a cluster with more copies than the bins that the
+  total length needs at least, which cannot have a bin for each copy without leaving most of them empty, shares bins
+  once that many are open; such rows are marked ``conflict``.
+
+Items are packed in two orders, by falling size and with the texts that have copies first, and the packing with fewer
+bins is kept: copies that come late find every open bin taken, copies that come first are in the way of long texts.
 
 Items are spread over shards by a hash of document and piece, so a source or cluster with a third of all rows is spread
 too; a shard holds ``SHARD`` items on average and is packed by one task. A shard leaves at most about one half-filled
@@ -24,13 +27,15 @@ from __future__ import annotations
 
 import base64
 import os
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, enough_tasks
 
 #: The vocabulary texts are measured with, unless another file is given.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -38,8 +43,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Items packed together by one task, on average.
 SHARD = 40_000
-#: Bins allowed over the least possible number before conflicts are tolerated.
-SLACK = 0.002
+#: A piece may end so many tokens before the capacity, for it to end at a word's end.
+BACK = 16
 #: Characters encoded at a time; longer texts are encoded in stretches that end before white space.
 STRETCH = 50_000
 #: Sources are told apart by this many bits.
@@ -61,9 +66,18 @@ def tokenizer(path: str):  # noqa: ANN201
 def _load(path: str):  # noqa: ANN202
     import tiktoken
 
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    enc = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    widths = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+    for token, rank in ranks.items():
+        widths[rank] = len(token)
+    enc.tidemark_widths = widths
+    return enc
 
 
 def _stretches(text: str) -> list[str]:
@@ -87,35 +101,46 @@ def encode(path: str, text: str) -> list[int]:
     return [t for part in _stretches(text) for t in enc.encode_ordinary(part)]
 
 
-def pieces(path: str, text: str, tokens: list[int], capacity: int) -> list[tuple[int, int, int]]:
-    """(start, end, tokens) of the pieces of a text, each of at most ``capacity`` tokens when encoded by itself."""
+def _ends(path: str, text: str, tokens: list[int]) -> np.ndarray:
+    """Code points of ``text`` that are complete after each token."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    points = np.append(np.flatnonzero((raw & 0xC0) != 0x80)[1:], len(raw))  # where each code point ends
+    return np.searchsorted(points, np.cumsum(tokenizer(path).tidemark_widths[np.asarray(tokens)]), side="right")
+
+
+def pieces(path: str, text: str, tokens: list[int], capacity: int, ends: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(start, end, tokens) of the pieces of a text, each of at most ``capacity`` tokens when encoded by itself.
+
+    No word of the tokenizer's pattern holds white space after other characters, so a piece that ends before white space
+    has the tokens it has in the whole text. Where there is no such place near the capacity, the piece is encoded again.
+    """
     if len(tokens) <= capacity:
         return [(0, len(text), len(tokens))]
-    enc = tokenizer(path)
-    # Code points that are complete after each token.
-    ends, whole, points = [], b"", 0
-    for token in tokens:
-        raw = enc.decode_single_token_bytes(token)
-        points += sum((b & 0xC0) != 0x80 for b in raw)
-        whole = (whole + raw)[-4:]
-        tail = next((k for k in range(1, len(whole) + 1) if whole[-k] & 0xC0 != 0x80), 1)
-        lead = whole[-tail]
-        complete = tail >= (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
-        ends.append(points if complete else points - 1)
-    found, at, start = [], 0, 0
+    ends = _ends(path, text, tokens) if ends is None else ends
+    at_space = lambda e: text[e : e + 1].isspace() and not text[e - 1].isspace()
+    found, at, start, aligned = [], 0, 0, True
     while start < len(text):
         stop = min(at + capacity, len(tokens))
-        end = ends[stop - 1] if stop < len(tokens) else len(text)
-        while True:
-            end = max(end, start + 1)  # a capacity below one character's tokens still goes forward
-            n = len(encode(path, text[start:end]))
-            if n <= capacity or end == start + 1:
-                break
-            stop -= max(1, n - capacity)
-            end = ends[stop - 1] if stop > at else start + 1
+        n = 0
+        if aligned:
+            if stop == len(tokens):
+                end, n = len(text), stop - at
+            else:
+                back = next((k for k in range(stop, max(at, stop - BACK), -1) if at_space(int(ends[k - 1]))), None)
+                if back is not None:
+                    end, n, stop = int(ends[back - 1]), back - at, back
+        if not n:
+            end = int(ends[stop - 1]) if stop < len(tokens) else len(text)
+            while True:
+                end = max(end, start + 1)  # a capacity below one character's tokens still goes forward
+                n = len(encode(path, text[start:end]))
+                if n <= capacity or end == start + 1:
+                    break
+                stop -= max(1, n - capacity)
+                end = int(ends[stop - 1]) if stop > at else start + 1
         found.append((start, end, n))
-        while at < len(tokens) and ends[at] <= end:
-            at += 1
+        at = int(np.searchsorted(ends, end, side="right"))
+        aligned = at > 0 and int(ends[at - 1]) == end and (end >= len(text) or at_space(end))
         start = end
     return found
 
@@ -124,20 +149,32 @@ def _measure(path: str, capacities: list[tuple[int, int]]) -> Callable[[Iterator
     names = ("capacity_id", "doc_id", "piece_no", "start_pos", "end_pos", "n_tokens", "source", "cluster")
     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = batch.column(1).to_pylist()
+        tokens = [encode(path, t) if t else [] for t in texts]
+        counts = np.array([len(t) for t in tokens], np.int64)
+        lengths = np.array([len(t) if t else 0 for t in texts], np.int64)
+        ends: dict[int, np.ndarray] = {}
+        for capacity_id, capacity in capacities:
+            whole = np.flatnonzero((counts > 0) & (counts <= capacity))
+            rows, numbers, starts, stops, sizes = [whole], [np.zeros(len(whole), np.int64)], [np.zeros(len(whole), np.int64)], [lengths[whole]], [counts[whole]]
+            for i in np.flatnonzero(counts > capacity).tolist():
+                if i not in ends:
+                    ends[i] = _ends(path, texts[i], tokens[i])
+                cut = np.array(pieces(path, texts[i], tokens[i], capacity, ends[i]))
+                rows.append(np.full(len(cut), i))
+                numbers.append(np.arange(len(cut)))
+                starts.append(cut[:, 0])
+                stops.append(cut[:, 1])
+                sizes.append(cut[:, 2])
+            at = pa.array(np.concatenate(rows))
+            columns = [pa.array(np.full(len(at), capacity_id)), batch.column(0).take(at), *(pa.array(np.concatenate(x)) for x in (numbers, starts, stops, sizes)), batch.column(2).take(at), batch.column(3).take(at)]
+            yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, text, source, cluster in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if not text:
-                    continue
-                tokens = encode(path, text)
-                if not tokens:
-                    continue
-                for capacity_id, capacity in capacities:
-                    for number, (start, end, n) in enumerate(pieces(path, text, tokens, capacity)):
-                        rows.append((capacity_id, doc, number, start, end, n, source, cluster))
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+            for at in range(0, batch.num_rows, 1_000):
+                yield from of(batch.slice(at, 1_000))
 
     return run
 
@@ -188,10 +225,10 @@ class Bins:
             above &= above - 1
         return None
 
-    def put(self, size: int, cluster: int, source: int, start: int = 0) -> tuple[int, bool, int]:
+    def put(self, size: int, cluster: int, source: int, start: int = 0, shares: bool = False) -> tuple[int, bool, int]:
         """(bin, conflict, residual it had); ``start`` tells below which residual every bin is known to conflict."""
         place, conflict = self.find(size, cluster, source, start), False
-        if place is None and cluster and len(self.room) >= self.least:
+        if place is None and shares and len(self.room) >= self.least:
             place = self.find(size, 0, source, size)
             conflict = place is not None
         if place is None:
@@ -209,32 +246,41 @@ class Bins:
         return b, conflict, r
 
 
-def best_fit(sizes: list[int], clusters: list[int], sources: list[int], capacity: int, slack: float = SLACK) -> tuple[list[int], list[bool]]:
-    """Bin of each item, and whether it shares the bin with a copy."""
+def best_fit(sizes: list[int], clusters: list[int], sources: list[int], capacity: int) -> tuple[list[int], list[bool]]:
+    """Bin of each item, and whether it shares the bin with a copy: the better of two orders, both largest first."""
     least = -(-sum(sizes) // capacity)
-    bins = Bins(capacity, int(least * (1 + slack)))
-    counts: dict[int, int] = {}
-    for c in clusters:
-        counts[c] = counts.get(c, 0) + 1
+    counts = Counter(clusters)
     bits: dict[int, int] = {}
     for c, n in counts.items():
         if n > 1:
             bits[c] = 1 << len(bits)
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], clusters[i]))
+    best: tuple[list[int], list[bool]] | None = None
+    for first in (False, True):
+        order = sorted(range(len(sizes)), key=lambda i: (first and -counts[clusters[i]], -sizes[i], clusters[i]))
+        placed, conflict = _in_order(order, sizes, clusters, sources, capacity, least, counts, bits)
+        if best is None or (max(placed, default=0), sum(conflict)) < (max(best[0], default=0), sum(best[1])):
+            best = placed, conflict
+        if max(placed, default=0) < least and not any(conflict):
+            break  # no order needs fewer bins
+    return best
+
+
+def _in_order(order: list[int], sizes: list[int], clusters: list[int], sources: list[int], capacity: int, least: int, counts: Counter, bits: dict[int, int]) -> tuple[list[int], list[bool]]:
+    bins = Bins(capacity, least)
     placed, conflict = [0] * len(sizes), [False] * len(sizes)
     last, start = None, 0
     for i in order:
         # Copies come one after the other: bins below the residual found last are known to hold one.
         if (sizes[i], clusters[i]) != last:
             last, start = (sizes[i], clusters[i]), 0
-        b, shared, r = bins.put(sizes[i], bits.get(clusters[i], 0), 1 << sources[i] % SOURCE_BITS, start)
+        b, shared, r = bins.put(sizes[i], bits.get(clusters[i], 0), 1 << sources[i] % SOURCE_BITS, start, counts[clusters[i]] > least)
         if not shared and bits.get(clusters[i]):
             start = min(r, capacity)
         placed[i], conflict[i] = b, shared
     return placed, conflict
 
 
-def _pack(capacities: dict[int, int], slack: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack(capacities: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Shards come whole, one after the other; each is packed as it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +290,7 @@ def _pack(capacities: dict[int, int], slack: float) -> Callable[[Iterator[pa.Rec
         def packed() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks()
             lists = [whole.column(c).to_pylist() for c in ("n_tokens", "cluster", "source")]
-            bins, conflict = best_fit(*lists, capacities[key[0]], slack)
+            bins, conflict = best_fit(*lists, capacities[key[0]])
             done = whole.drop_columns(["source", "cluster", "shard"])
             done = done.append_column("container_id", pa.array([(key[1] << 32) + b for b in bins], pa.int64()))
             return done.append_column("conflict", pa.array(conflict, pa.bool_())).to_batches()[0]
@@ -264,14 +310,16 @@ def _pack(capacities: dict[int, int], slack: float) -> Callable[[Iterator[pa.Rec
     return run
 
 
-def containers(documents: DataFrame, capacities: DataFrame, tokenizer_path: str = TOKENIZER, shard: int = SHARD, slack: float = SLACK) -> DataFrame:
+def containers(documents: DataFrame, capacities: DataFrame, tokenizer_path: str = TOKENIZER, shard: int = SHARD) -> DataFrame:
     """(capacity_id, doc_id, piece_no, start_pos, end_pos, n_tokens, container_id, conflict): one row for each document,
     or piece of one, and capacity. Container ids count within their capacity. Positions are code points of the text."""
     c = F.col
     wanted = [(r[0], r[1]) for r in capacities.filter(c("max_tokens") > 0).select("capacity_id", "max_tokens").distinct().limit(MOST_CAPACITIES + 1).collect()]
     if len(wanted) > MOST_CAPACITIES or len({i for i, _ in wanted}) != len(wanted):
         raise ValueError("capacities must be a small table with distinct ids")
-    texts = documents.select(
+    if os.path.exists(tokenizer_path):
+        documents.sparkSession.sparkContext.addFile(tokenizer_path)  # for executors that lack the file
+    texts = enough_tasks(documents).select(
         c("doc_id").cast("bigint").alias("doc_id"), c("text").cast("string").alias("text"),
         F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(1 << 20)).alias("source"),
         F.xxhash64(F.lower(F.regexp_replace("text", r"\s+", " "))).alias("cluster"),
@@ -287,11 +335,11 @@ def containers(documents: DataFrame, capacities: DataFrame, tokenizer_path: str
     tasks = max(1, min(sum(number.values()), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     sorted_shards = spread.repartition(tasks, "capacity_id", "shard").sortWithinPartitions("capacity_id", "shard", "doc_id", "piece_no")
     out = "capacity_id int, doc_id bigint, piece_no int, start_pos int, end_pos int, n_tokens int, container_id bigint, conflict boolean"
-    return sorted_shards.mapInArrow(_pack(dict(wanted), slack), out)
+    return sorted_shards.mapInArrow(_pack(dict(wanted)), out)
 
 
 def fill(packed: DataFrame, capacities: DataFrame) -> DataFrame:
     """(capacity_id, containers, items, conflicts, fill): the share of the containers' space that is used."""
     per = packed.groupBy("capacity_id").agg(F.countDistinct("container_id").alias("containers"), F.count(F.lit(1)).alias("items"), F.sum(F.col("conflict").cast("int")).alias("conflicts"), F.sum("n_tokens").alias("tokens"))
-    joined = per.join(F.broadcast(capacities.select("capacity_id", "max_tokens")), "capacity_id")
+    joined = per.join(capacities.select("capacity_id", "max_tokens"), "capacity_id")
     return joined.select("capacity_id", "containers", "items", "conflicts", (F.col("tokens") / (F.col("containers") * F.col("max_tokens"))).alias("fill"))
