@@ -7,10 +7,13 @@ inside numbers, addresses and quotations). A period is ambiguous, and is settled
 * document-centred: unambiguous occurrences elsewhere in the same document tell whether a word is a proper name (it is
   capitalised inside sentences), an ordinary word (it occurs in lower case) or an abbreviation (it is followed by a
   period inside a sentence);
-* corpus fallback: the same counts over all documents, for words the document says nothing about. A word has an entry
-  if it makes up at least ``LEAST_SHARE`` of all counted words, so there are at most ``1 / LEAST_SHARE`` of them
-  whatever the size of the corpus, and they can be sent to every task;
-* short lists of common abbreviations, by what follows them, for the rest.
+* corpus fallback: the same counts over all documents, for words the document says nothing about. The ``HELD_WORDS``
+  commonest words go to every task; a document that asks for another one is settled in a second round, with the counts
+  of its own words joined to it, so that no word is without its counts;
+* short lists of common abbreviations, by what follows them, for words without evidence. Whether a listed word is an
+  abbreviation at all is decided by how often it is written with and without a period, where it occurs.
+
+The counts of all documents hold those of each, so a document's own words are counted only once the corpus has some.
 
 Defined cases: null and blank texts have no sentences; a quotation or bracket that is not closed on its line is taken
 for ordinary text; positions are code points of the text as given, end exclusive, without white space at either end.
@@ -23,16 +26,20 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, enough_tasks
 
-#: Least share of a word in all counted words for an entry in the corpus statistics.
-LEAST_SHARE = 1e-5
+#: Words whose counts go to every task (some 15 MB); those of other words are joined to the documents that need them.
+HELD_WORDS = 100_000
+#: Characters counted at a time.
+STRETCH = 1_000_000
 
 # Abbreviations in lower case without their last period.
 # Followed by a name, or by what they stand before: never the end of a sentence.
@@ -83,19 +90,21 @@ CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 BLANK = frozenset(" \t             ​  ⁠　﻿\x1f")
 
 
-@dataclass(eq=False)
-class Evidence:
-    """Counts on words in lower case: ``lower`` (inside a sentence, lower case), ``name`` (inside a sentence,
-    capitalised), ``start`` (at an unambiguous start), ``short`` (followed by a period inside a sentence), ``plain``
-    (not followed by a period), ``pause`` and ``stop`` (before an ellipsis with the sentence going on, or ending)."""
-
-    counts: dict[str, Counter] = field(default_factory=lambda: {k: Counter() for k in KINDS})
+PARTS = regex.compile("(" + TOKEN.pattern + ")")
+BREAK = regex.compile(r"[\r\n\v\f\x1c-\x1e\x85\u2028\u2029]")
+#: The first word of a line, or after a mark that always ends a sentence.
+FRESH = regex.compile(r"(?:^|[!?\r\n\v\f\x1c-\x1e\x85\u2028\u2029])[" + regex.escape("".join(sorted(BLANK)) + CLOSE + "¿¡«„") + "]*+(" + WORD.pattern + ")")
+THAI_LETTER = regex.compile(r"\p{Thai}")
+PAIRED = {c: regex.compile("[" + regex.escape(c + OPEN[c]) + "]") for c in OPEN}
+QUERY = regex.compile(r"[\w=&/?]")
+DOTTED = regex.compile(r"(?:\p{L}\.)+\p{L}")
+LAST_TOKEN = regex.compile(r"[\p{L}\p{M}.]*$")
 
-    def __getitem__(self, kind: str) -> Counter:
-        return self.counts[kind]
-
-
-KINDS = ("lower", "name", "start", "short", "plain", "pause", "stop")
+#: Counts on words in lower case: ``lower`` (inside a sentence, lower case), ``name`` (inside a sentence, capitalised),
+#: ``start`` (at an unambiguous start), ``short`` (followed by a period inside a sentence), ``plain`` and ``dot``
+#: (without and with a period), ``pause`` and ``stop`` (before an ellipsis with the sentence going on, or ending).
+KINDS = ("lower", "name", "start", "short", "plain", "dot", "pause", "stop")
+LOWER_CASE, NAME, START, SHORT, PLAIN, DOT, PAUSE, STOP = range(len(KINDS))
 
 
 def _is_cased(text: str) -> bool:
@@ -103,74 +112,169 @@ def _is_cased(text: str) -> bool:
     return CASED.search(text) is not None
 
 
-def collect(text: str, into: Evidence) -> None:
-    """Add the unambiguous occurrences of words in ``text``."""
-    if not _is_cased(text):
-        # Without capitals only starts after marks that are always ends say something.
-        for line in LINES.findall(text):
-            fresh = True
-            for m in WORD.finditer(line):
-                before = line[: m.start()].rstrip("".join(BLANK) + CLOSE + "¿¡«„")
-                fresh = not before or before[-1] in "!?"
-                if fresh:
-                    into["start"][m.group().lower()] += 1
-        return
-    for line in LINES.finditer(text):
-        s = line.group()
-        previous_end, previous, n = 0, "", 0
-        for m in TOKEN.finditer(s):
-            raw = m.group()
+class _Gaps(dict):
+    """What stands between two tokens: 0 white space, 1 a mark that ends sentences, 2 a line break, 3 anything else."""
+
+    def __missing__(self, gap: str) -> int:
+        kind = 2 if BREAK.search(gap) else 1 if any(c in "!?。！？" for c in gap) and not any(c in CLOSE for c in gap) else 0 if not gap.strip("".join(BLANK)) else 3
+        if len(self) < 10_000:
+            self[gap] = kind
+        return kind
+
+
+@dataclass(eq=False)
+class Evidence:
+    """Unambiguous occurrences of words: first as tokens with what stands before them, then as counts of each word."""
+
+    tokens: Counter = field(default_factory=Counter)  # (gap, whether a period is before it, token)
+    periods: Counter = field(default_factory=Counter)  # (token with a period, first letter of the token after it)
+    fresh: Counter = field(default_factory=Counter)
+    gaps: _Gaps = field(default_factory=_Gaps)
+
+    def __len__(self) -> int:
+        return len(self.tokens) + len(self.periods) + len(self.fresh)
+
+    def add(self, text: str) -> None:
+        """Count ``text``; texts with capitals and without them must be added apart."""
+        if not _is_cased(text):
+            # Without capitals only starts after marks that are always ends say something.
+            self.fresh.update(FRESH.findall(text))
+            return
+        parts = PARTS.split(text)
+        tokens = parts[1::2]
+        if not tokens:
+            return
+        kinds = list(map(self.gaps.__getitem__, parts[0:-1:2]))
+        kinds[0] = 2
+        dots = [t[-1] == "." for t in tokens]
+        self.tokens.update(zip(kinds, [False, *dots], tokens))
+        self.periods.update((tokens[i], tokens[i + 1][0]) for i in range(len(tokens) - 1) if dots[i] and kinds[i + 1] == 0)
+
+    def counts(self) -> dict[str, list[int]]:
+        """The counts of each word, in the order of ``KINDS``."""
+        found: dict[str, list[int]] = {}
+
+        def count(word: str, kind: int, n: int) -> None:
+            if word not in found:
+                found[word] = [0] * len(KINDS)
+            found[word][kind] += n
+
+        for (gap, after_dot, raw), n in self.tokens.items():
             word = raw.rstrip(".'’-")
-            gap = s[previous_end : m.start()]
-            low = word.lower()
-            first = word[:1]
+            low, first = word.lower(), word[:1]
+            if first.isalpha():
+                if gap in (1, 2):
+                    count(low, START, n)
+                elif gap == 0 and not after_dot:
+                    count(low, LOWER_CASE if first.islower() else NAME, n)
+            count(low, DOT if raw[-1] == "." else PLAIN, n)
+        for (raw, first), n in self.periods.items():
             if first.isalpha():
-                if n == 0 or any(c in "!?。！？" for c in gap) and not any(c in CLOSE for c in gap):
-                    into["start"][low] += 1
-                elif not gap.strip("".join(BLANK)) and previous and not previous.endswith("."):
-                    into["lower" if first.islower() else "name"][low] += 1
-                if previous.endswith(".") and not gap.strip("".join(BLANK)):
-                    base = previous.rstrip(".").lower()
-                    if previous.endswith(".."):
-                        into["pause" if first.islower() else "stop"][base] += 1
-                    elif first.islower():
-                        into["short"][base] += 1
-            if not raw.endswith("."):
-                into["plain"][low] += 1
-            previous_end, previous, n = m.start() + len(raw), raw, n + 1
+                base = raw.rstrip(".").lower()
+                if raw.endswith(".."):
+                    count(base, PAUSE if first.islower() else STOP, n)
+                elif first.islower():
+                    count(base, SHORT, n)
+        for word, n in self.fresh.items():
+            count(word.lower(), START, n)
+        return found
+
+
+def _stretches(text: str) -> Iterator[str]:
+    """A long text in stretches that end at line breaks, or at white space in a line that is longer than one."""
+    at = 0
+    while len(text) - at > STRETCH:
+        end = next((m.end() for m in BREAK.finditer(text, at + STRETCH // 2, at + STRETCH)), 0) or next((k for k in range(at + STRETCH, at + STRETCH // 2, -1) if text[k].isspace()), at + STRETCH)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def evidence(texts: Iterator[str], into: Evidence) -> None:
+    """Count many texts, joined to stretches of bounded length; a line break sets them apart."""
+    held: dict[bool, list[str]] = {True: [], False: []}
+    size = 0
+    for text in texts:
+        held[_is_cased(text)].append(text)
+        size += len(text)
+        if size > STRETCH:
+            for parts in held.values():
+                for part in _stretches("\n".join(parts)):
+                    into.add(part)
+                parts.clear()
+            size = 0
+    for parts in held.values():
+        for part in _stretches("\n".join(parts)):
+            into.add(part)
+
+
+NONE = (0,) * len(KINDS)
 
 
 @dataclass(eq=False)
 class Splitter:
-    """Splits texts with what the corpus tells of words."""
-
-    corpus: dict[str, dict[str, int]] = field(default_factory=dict)
+    """Splits texts with what the corpus tells of words: ``corpus`` has the counts of each word, ``more`` those of words
+    of the current text. If not ``complete``, ``asked`` tells whether a word without counts was asked for."""
+
+    corpus: dict[str, Any] = field(default_factory=dict)
+    complete: bool = True
+    more: dict[str, Any] = field(default_factory=dict)
+    asked: bool = False
+    text: str = ""
+
+    def _known(self, low: str) -> Any:
+        found = self.corpus.get(low) or self.more.get(low)
+        if found is None and not self.complete:
+            self.asked = True
+            return self._own().get(low, NONE)
+        return found or NONE
+
+    def _own(self) -> dict[str, list[int]]:
+        if self.own is None:
+            held = Evidence()
+            evidence([self.text], held)
+            self.own = held.counts()
+        return self.own
 
-    def _count(self, kind: str, word: str) -> int:
-        return self.own[kind][word] * 4 + self.corpus.get(kind, {}).get(word, 0)
+    def _count(self, kind: int, word: str) -> int:
+        all_of = self._known(word)[kind]
+        return all_of + 4 * self._own().get(word, NONE)[kind] if all_of else 0
 
     def _ordinary(self, word: str) -> bool:
         """Whether a capitalised word would be in lower case inside a sentence (as opposed to a name)."""
         low = word.lower()
         if word == "I" or low in TITLES:
             return True
-        if self.own["lower"][low] or self.own["name"][low]:
-            return self.own["lower"][low] >= self.own["name"][low]
-        lower, name, start = (self.corpus.get(k, {}).get(low, 0) for k in ("lower", "name", "start"))
-        return start > 0 and start >= name or lower > name
+        known = self._known(low)
+        if known[LOWER_CASE] or known[NAME]:
+            own = self._own().get(low, NONE)
+            if own[LOWER_CASE] or own[NAME]:
+                return own[LOWER_CASE] >= own[NAME]
+        return known[START] > 0 and known[START] >= known[NAME] or known[LOWER_CASE] > known[NAME]
 
     def _starter(self, word: str) -> bool:
         """Whether a word without capitals begins sentences rather than going on with them."""
         low = word.lower()
-        start = self._count("start", low)
-        return start > 0 and start * 3 >= self._count("lower", low)
+        start = self._count(START, low)
+        return start > 0 and start * 3 >= self._count(LOWER_CASE, low)
+
+    def _listed(self, low: str, words: frozenset[str]) -> bool:
+        """Whether a word is a listed abbreviation: evidence says so, or there is none and the list does. A single
+        letter, or letters with periods between them, have no ordinary use to be told from."""
+        if low not in words:
+            return False
+        if len(low) < 2 or "." in low:
+            return True
+        return self._count(DOT, low) >= self._count(PLAIN, low)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         if not text or text.isspace():
             return []
-        self.own = Evidence()
-        collect(text, self.own)
+        self.text, self.own, self.asked = text, None, False
         self.cased = _is_cased(text)
+        self.plain = text.isascii()
+        self.thai = not self.plain and THAI_LETTER.search(text) is not None
+        self.emoji = not self.plain and EMOJI.search(text) is not None
         found: list[tuple[int, int]] = []
         for line in LINES.finditer(text):
             self._line(line.group(), line.start(), found)
@@ -195,14 +299,16 @@ class Splitter:
 
     def _cuts(self, s: str) -> list[int]:
         self.fixed = [m.span() for m in ADDRESS.finditer(s)] if INNER.search(s) or "@" in s else []
-        spaces = {} if s.isascii() else {m.start(): m.end() for m in THAI.finditer(s)}
+        spaces = {m.start(): m.end() for m in THAI.finditer(s)} if self.thai else {}
         cuts: list[int] = []
         quotes = self._quotes(s)
-        emoji = {} if s.isascii() else {m.start(): m.end() for m in EMOJI.finditer(s)}
-        places = sorted({m.start() for m in MARK.finditer(s)} | spaces.keys() | quotes.keys() | emoji.keys())
+        emoji = {m.start(): m.end() for m in EMOJI.finditer(s)} if self.emoji else {}
+        places = [m.start() for m in MARK.finditer(s)]
+        if spaces or quotes or emoji:
+            places = sorted({*places, *spaces, *quotes, *emoji})
         i, begin, address = 0, self._skip(s, 0), 0
-        if LIST_NUMBER.match(s):
-            i = LIST_NUMBER.match(s).end()  # the number of a list entry
+        if number := LIST_NUMBER.match(s):
+            i = number.end()  # the number of a list entry
         for at in places:
             if at < i:
                 continue
@@ -211,6 +317,12 @@ class Splitter:
             if address < len(self.fixed) and self.fixed[address][0] <= at:
                 i = self.fixed[address][1]
                 continue
+            if at in spaces or at in quotes or at in emoji:
+                pass
+            elif begin < at and self._is_plain_end(s, at, begin):
+                cuts.append(at + 1)
+                i = begin = at + 2
+                continue
             if at in spaces:
                 end = at
             elif at in quotes:
@@ -232,6 +344,19 @@ class Splitter:
             i = begin = self._skip(s, end)
         return cuts
 
+    def _is_plain_end(self, s: str, at: int, begin: int) -> bool:
+        """The commonest case, settled without the general rules: a single mark, one space and a Latin letter."""
+        if s[at + 1 : at + 2] != " " or (nxt := s[at + 2 : at + 3]) in ("x", "X") or not (nxt.isascii() and nxt.isalpha()):
+            return False
+        if s[at] in "!?":
+            return True
+        if s[at] != "." or not nxt.isupper() or not s[at + 3 : at + 4].islower():
+            return False
+        self.begin = begin
+        token = self._token(s, at)
+        low = token.lower()
+        return len(token) > 1 and token.isalpha() and low not in TITLES and low not in LEADS and low not in ENDS and not self._abbreviates(low)
+
     @staticmethod
     def _skip(s: str, i: int) -> int:
         while i < len(s) and (s[i] in BLANK or s[i].isspace()):
@@ -243,7 +368,7 @@ class Splitter:
         end = i
         while True:
             j = self._skip(s, end)
-            if j >= len(s):
+            if j >= len(s) or s[j].isascii() and s[j].isalpha() and s[j] not in "xX":
                 return end
             if j == end and s[j] in CLOSE and not (s[j] in OPEN and j in self.opened):
                 end = j + 1
@@ -295,7 +420,7 @@ class Splitter:
         """Where each quotation or bracket opened by ``c`` is closed on the line, in one pass."""
         stack: list[int] = []
         found: dict[int, int] = {}
-        for m in regex.finditer("[" + regex.escape(c + OPEN[c]) + "]", s):
+        for m in PAIRED[c].finditer(s):
             if m.group() == c and c not in OPEN[c]:
                 stack.append(m.start())
             elif stack:
@@ -357,8 +482,8 @@ class Splitter:
         """Whether ``text`` ends with an abbreviation and its period."""
         if not text.endswith("."):
             return False
-        token = regex.search(r"[\p{L}\p{M}.]*$", text[:-1]).group()
-        return token.lower() in TITLES or token.lower() in LEADS or token.lower() in ENDS
+        low = LAST_TOKEN.search(text[:-1]).group().lower()
+        return any(self._listed(low, words) for words in (TITLES, LEADS, ENDS))
 
     def _token(self, s: str, i: int) -> str:
         """The token of the current sentence that ends before ``i``, with the periods inside it."""
@@ -393,7 +518,7 @@ class Splitter:
         if self._skip(s, begin) >= i:
             return False  # marks without a sentence before them
         if any(c in HARD for c in marks):
-            if marks[0] in "!?" and after and (after.isalnum() and after.islower() and before and self.cased and not marks[-1] in "。！？") and regex.match(r"[\w=&/?]", after) and s[i - 1].isalnum() and "=" in s[stop : stop + 12]:
+            if marks[0] in "!?" and after and (after.isalnum() and after.islower() and before and self.cased and not marks[-1] in "。！？") and QUERY.match(after) and s[i - 1].isalnum() and "=" in s[stop : stop + 12]:
                 return False
             j = self._skip(s, stop)
             if j < len(s) and s[j] in ",;،，、":
@@ -419,7 +544,7 @@ class Splitter:
             if self.cased:
                 return False
             word = self._token(s, i).lower()
-            pause, stop = self._count("pause", word), self._count("stop", word)
+            pause, stop = self._count(PAUSE, word), self._count(STOP, word)
             if pause or stop:
                 return stop > pause
             return spaced and self._starter(self._next_word(s, k)) and self._sentence_length(s, i) > 2
@@ -441,13 +566,10 @@ class Splitter:
             return self._glued(s, i, stop, token)
         k = self._lead(s, j)
         nxt = s[k] if k < len(s) else ""
-        if low in TITLES and not token.isdigit():
-            if low not in ENDS:
-                return False
-        if low in LEADS and (low not in ENDS):
-            if nxt.isupper() and len(token) > 2 and low not in ("z.b", "d.h", "e.g", "i.e") and not self._abbreviates(low) and self._ordinary(self._next_word(s, k)) and self._count("plain", low):
-                return True
+        if low not in ENDS and self._listed(low, TITLES) and not token.isdigit():
             return False
+        if low in LEADS and low not in ENDS and (nxt.isdigit() or self._listed(low, LEADS)):
+            return nxt.isupper() and len(token) > 2 and low not in ("z.b", "d.h", "e.g", "i.e") and not self._abbreviates(low) and self._ordinary(self._next_word(s, k))
         unit = s[max(0, i - len(token) - 2) : i - len(token)].rstrip()[-1:].isdigit()
         if len(token) == 1 and token.isalpha() and not unit and (token.isupper() or not self.cased):
             # An initial, unless an ordinary word begins after it.
@@ -460,7 +582,7 @@ class Splitter:
             if len(word) == 1 and s[k + 1 : k + 2] == ".":
                 return False
             return self._begins(s, j, True) or not nxt.isalpha()
-        if regex.fullmatch(r"(?:\p{L}\.)+\p{L}", token) or low in ENDS:
+        if DOTTED.fullmatch(token) or low in ENDS:
             if nxt.isdigit():
                 return not low.endswith(("a.m", "p.m")) and low not in ("jan", "feb", "mar", "apr", "jun", "jul", "aug", "sep", "sept", "oct", "nov", "dec")
             return self._begins(s, j, True)
@@ -472,8 +594,8 @@ class Splitter:
 
     def _abbreviates(self, low: str) -> bool:
         """Whether a word not in the lists is shown to be an abbreviation by periods inside sentences."""
-        short = self._count("short", low)
-        return short > 0 and short * 2 > self._count("plain", low) and len(low) <= 6 and not low.isdigit()
+        short = self._count(SHORT, low)
+        return short > 0 and short * 2 > self._count(PLAIN, low) and len(low) <= 6 and not low.isdigit()
 
     @staticmethod
     def _initial(s: str, i: int, begin: int) -> bool:
@@ -493,14 +615,14 @@ class Splitter:
         if nxt.isupper():
             low = word.lower()
             # German ordinals stand before capitalised nouns, which hardly ever begin a sentence.
-            start, inside = self._count("start", low), self._count("name", low)
-            known = start + inside + self._count("lower", low)
+            start, inside = self._count(START, low), self._count(NAME, low)
+            known = start + inside + self._count(LOWER_CASE, low)
             return not (self._german(s, at) and (inside > start or not known))
         if nxt.islower():
             if self.cased:
                 return False
             if self._german(s, at):
-                return self._starter(word) and self._count("start", word.lower()) > self._count("name", word.lower())
+                return self._starter(word) and self._count(START, word.lower()) > self._count(NAME, word.lower())
             return self._starter(word) or not self._german(s, at)
         return self._begins(s, j, False)
 
@@ -537,63 +659,102 @@ class Splitter:
             return before.islower() or before.isdigit() and self._ordinary(word) and len(word) > 1 or (not before.isupper() and not before.isdigit()) or (before.isupper() and self._ordinary(word) and len(token) > 3) or low in ENDS
         if self.cased:
             return False
-        return before.islower() and len(token) > 1 and self._count("start", word.lower()) > 0
+        return before.islower() and len(token) > 1 and self._count(START, word.lower()) > 0
 
 
-def statistics(texts: DataFrame, least_share: float = LEAST_SHARE) -> dict[str, dict[str, int]]:
-    """Corpus counts over all documents of the words that make up at least ``least_share`` of the counted words.
+COUNTS = ", ".join(f"{k} bigint" for k in KINDS)
 
-    At most ``1 / least_share`` words can, so the result's size is bounded whatever the corpus.
-    """
-    counts = texts.mapInArrow(_collect, "kind string, word string, n bigint").groupBy("word").agg(
-        *[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in KINDS], F.sum("n").alias("n")
-    )
-    counts = cut_lineage(counts)
-    whole = counts.agg(F.sum("n")).first()[0] or 0
-    kept = counts.filter(F.col("n") >= whole * least_share)
-    table: dict[str, dict[str, int]] = {k: {} for k in KINDS}
-    for row in kept.collect():
-        for k in KINDS:
-            if row[k]:
-                table[k][row["word"]] = row[k]
-    return table
+
+def statistics(texts: DataFrame) -> DataFrame:
+    """(word, its counts, n): the evidence on every word of the column ``text`` over all documents."""
+    counted = texts.mapInArrow(_collect, "word string, " + COUNTS)
+    counts = counted.groupBy("word").agg(*[F.sum(k).alias(k) for k in KINDS])
+    return counts.withColumn("n", sum((F.col(k) for k in KINDS), F.lit(0)))
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = Evidence()
 
     def flush() -> pa.RecordBatch:
-        rows = [(k, w, n) for k in KINDS for w, n in held[k].items()]
-        kinds, words, numbers = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(words, pa.string()), pa.array(numbers, pa.int64())], names=["kind", "word", "n"])
+        found = held.counts()
+        columns = list(zip(*found.values(), strict=True)) or [()] * len(KINDS)
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["word", *KINDS])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if text:
-                collect(text, held)
-        if sum(len(c) for c in held.counts.values()) > 400_000:
+        evidence((t for t in batch.column(0).to_pylist() if t), held)
+        if len(held) > 400_000:
             yield flush()
             held = Evidence()
     yield flush()
 
 
-def _split(corpus: dict[str, dict[str, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _spans(ids: list, starts: list, ends: list, open_ids: list, texts: list, words: list) -> pa.RecordBatch:
+    none = [None] * len(open_ids)
+    columns = [pa.array(ids + open_ids, pa.int64()), pa.array(starts + none, pa.int32()), pa.array(ends + none, pa.int32()), pa.array([None] * len(ids) + texts, pa.large_string()), pa.array([None] * len(ids) + words, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start_pos", "end_pos", "text", "words"])
+
+
+def _words_of(text: str) -> list[str]:
+    """Every form in which a word of the text can be asked for."""
+    tokens = TOKEN.findall(text)
+    return list({*(t.rstrip(".'’-").lower() for t in tokens), *(t.rstrip(".").lower() for t in tokens), *(w.lower() for w in WORD.findall(text))})
+
+
+def _split(corpus: Broadcast, complete: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sentences of each text; a text that asks for a word ``corpus`` lacks comes back itself, with its words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(corpus)
+        splitter = Splitter(corpus.value, complete)
         for batch in batches:
-            ids, starts, ends = [], [], []
+            ids, starts, ends, open_ids, texts, words = [], [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for a, b in splitter.spans(text or ""):
+                spans = splitter.spans(text or "")
+                if splitter.asked:
+                    open_ids.append(key)
+                    texts.append(text)
+                    words.append([w for w in _words_of(text) if w not in corpus.value])
+                    splitter.asked = False
+                    continue
+                for a, b in spans:
+                    ids.append(key)
+                    starts.append(a)
+                    ends.append(b)
+            yield _spans(ids, starts, ends, open_ids, texts, words)
+
+    return run
+
+
+def _split_again(corpus: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = Splitter(corpus.value)
+        for batch in batches:
+            ids, starts, ends = [], [], []
+            for key, text, more in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                splitter.more = {w["word"]: [w[k] for k in KINDS] for w in more or ()}
+                for a, b in splitter.spans(text):
                     ids.append(key)
                     starts.append(a)
                     ends.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["doc_id", "start_pos", "end_pos"])
+            yield _spans(ids, starts, ends, [], [], []).select(["doc_id", "start_pos", "end_pos"])
 
     return run
 
 
-def sentences(documents: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(doc_id, start_pos, end_pos) of every sentence of every document."""
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    corpus = statistics(texts.select("text"), least_share)
-    return texts.mapInArrow(_split(corpus), "doc_id bigint, start_pos int, end_pos int")
+def sentences(documents: DataFrame, held_words: int = HELD_WORDS) -> DataFrame:
+    """(doc_id, start_pos, end_pos) of every sentence of every document. ``held_words`` changes the plan, not the rows."""
+    c, spark = F.col, documents.sparkSession
+    texts = enough_tasks(documents).select(c("doc_id").cast("bigint").alias("doc_id"), c("text").cast("string").alias("text"))
+    counts = cut_lineage(statistics(texts.select("text")))
+    common = counts.orderBy(c("n").desc(), "word").limit(held_words + 1).collect()
+    complete = len(common) <= held_words
+    corpus = spark.sparkContext.broadcast({r[0]: tuple(r[1:-1]) for r in common[:held_words]})
+    found = texts.mapInArrow(_split(corpus, complete), "doc_id bigint, start_pos int, end_pos int, text string, words array<string>")
+    if complete:
+        return found.select("doc_id", "start_pos", "end_pos")
+    found = cut_lineage(found)
+    # A text's sentences depend on the text alone, so texts are told apart by their digest.
+    unsettled = found.filter(c("text").isNotNull()).withColumn("digest", F.sha2("text", 256))
+    asked = unsettled.select("digest", F.explode("words").alias("word")).distinct()
+    more = asked.join(counts, "word").groupBy("digest").agg(F.collect_list(F.struct("word", *KINDS)).alias("more"))
+    again = unsettled.join(more, "digest", "left").select("doc_id", "text", "more").mapInArrow(_split_again(corpus), "doc_id bigint, start_pos int, end_pos int")
+    return found.filter(c("start_pos").isNotNull()).select("doc_id", "start_pos", "end_pos").unionByName(again)
