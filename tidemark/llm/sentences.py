@@ -265,7 +265,7 @@ class Splitter:
             return False
         if len(low) < 2 or "." in low:
             return True
-        return self._count(DOT, low) >= self._count(PLAIN, low)
+        return self._count(DOT, low) >= 2 * self._count(PLAIN, low)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         if not text or text.isspace():
