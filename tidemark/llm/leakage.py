@@ -3,20 +3,24 @@
 Test items are a stated query set: they are taken in blocks of bounded size, and every block is met by all documents.
 For each block:
 
-1. A first pass counts, over all documents, in how many each short n-gram of the items occurs.
+1. One pass over the texts turns them into numbers of the items' units and keeps the documents that may hold a copy: those
+   with short n-grams of the items in a row (or, where edited copies are sought, with at least two). They are written out
+   as numbers, and over them it is counted in how many documents each n-gram occurs.
 2. Every run of ``min_run`` units of an item is covered by the rarest of the n-grams inside it; these rare n-grams are
    the seeds. A document that holds such a run holds its seed, so no copy can be missed, while common wording (which
    items share) rarely makes a candidate.
    A changed word may fall into just these rare n-grams, so for edited copies every n-gram of an item that some document
-   holds is a seed too: an edited copy is met if one n-gram of it is unchanged.
-3. A second pass joins documents to items on the seeds. Each match is extended to its whole run, and the surroundings
-   are aligned with the item by Smith-Waterman, which scores edited and paraphrased copies.
+   holds is a seed too. As n-grams are three words long, a copy of which every fourth word is changed is still met.
+3. Documents are joined to items on the seeds. Each match is extended to its whole run. What is no exact copy of any
+   item is aligned with the items whose seeds it holds by Smith-Waterman, which decides on edited and paraphrased
+   copies. A stretch that is an exact copy of one item is not reported as an edited copy of items worded like it, nor an
+   edited copy as one of items that align with it much worse (``ALIKE``).
 
 Units are words, and for Chinese and Japanese items letters. Texts are compared after Unicode compatibility
 composition and case folding, without invisible characters; punctuation and white space only separate words.
 
-Both passes are narrow: documents stay where they are, and the only shuffle is of the n-gram counts, of which there are
-no more than n-grams in a block. Copies of a document are judged each by itself.
+Documents stay where they are; the only shuffle is of the n-gram counts, of which there are no more than n-grams in a
+block. Copies of a document are judged each by itself.
 
 Defined cases: null, empty and blank texts match nothing, on either side; an item with fewer units than ``min_run``
 matches nothing; an item id that repeats with several texts gives a row for each; extra columns are not read.
@@ -24,6 +28,7 @@ matches nothing; an item id that repeats with several texts gives a row for each
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -35,20 +40,63 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage, enough_tasks
+
 WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 INVISIBLE = regex.compile(r"[\p{Cf}\p{Cc}--\s]", regex.V1)
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 #: Items of one block, and characters of their texts: what is sent to every task.
 BLOCK_ITEMS, BLOCK_CHARS = 5_000, 5_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Of items that align with the same stretch of a text as edited copies, those that score so much of the best are reported.
+ALIKE = 0.8
+#: Cells of an alignment's matrix that are kept for the way back; of a larger one the part that matters is computed again.
+CELLS = 1 << 22
+#: Characters of texts that are normalised together.
+STRETCH = 500_000
+#: Stands between texts; a private character, which is part of no word.
+APART = "\ue000"
+ASCII_WORD, ASCII_CONTROL = re.compile(rb"[a-z0-9]+|\x00"), bytes([*range(1, 9), *range(14, 28), 127])
+WORD_OR_APART = regex.compile(WORD.pattern + "|" + APART)
 
 
 def normal_words(text: str) -> list[str]:
     """The words of ``text`` as they are compared."""
-    if not text.isascii():
-        text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-        return WORD.findall(unicodedata.normalize("NFKC", text.casefold()))
-    return WORD.findall(text.casefold())
+    return _all_words([text])[0]
+
+
+def _joined(texts: list[str]) -> list[str]:
+    """The words of several texts in a row, with ``APART`` after each text."""
+    if all(t.isascii() for t in texts):
+        raw = "".join(t.replace("\x00", "") + "\x00" for t in texts).encode().translate(None, ASCII_CONTROL)
+        return b" ".join(ASCII_WORD.findall(raw.lower())).decode().replace("\x00", APART).split(" ")
+    text = INVISIBLE.sub("", unicodedata.normalize("NFKC", "".join(t.replace(APART, " ") + APART for t in texts)))
+    return WORD_OR_APART.findall(unicodedata.normalize("NFKC", text.casefold()))
+
+
+def _all_words(texts: list[str]) -> list[list[str]]:
+    found: list[list[str]] = [[]]
+    for w in _joined(texts):
+        if w == APART:
+            found.append([])
+        else:
+            found[-1].append(w)
+    return found[:-1]
+
+
+def _groups(texts: list[str | None]) -> Iterator[list[int]]:
+    """The places of texts that are normalised together: those of one kind, up to ``STRETCH`` characters or one text."""
+    held: dict[bool, list[int]] = {True: [], False: []}
+    sizes = {True: 0, False: 0}
+    for i, text in enumerate(texts):
+        if text:
+            kind = text.isascii()
+            held[kind].append(i)
+            sizes[kind] += len(text)
+            if sizes[kind] > STRETCH:
+                yield held[kind]
+                held[kind], sizes[kind] = [], 0
+    yield from (places for places in held.values() if places)
 
 
 @dataclass(frozen=True)
@@ -59,7 +107,7 @@ class Rule:
     gram: int
 
 
-WORDS, LETTERS = Rule(10, 4), Rule(20, 8)
+WORDS, LETTERS = Rule(10, 3), Rule(20, 5)
 
 
 @dataclass(eq=False)
@@ -127,72 +175,97 @@ def _sides(items: list[tuple[int, str | None, str | None]], words: Rule, letters
     return by_word, by_letter
 
 
-def _documents(batch: pa.RecordBatch, sides: tuple[Side, Side]) -> Iterator[tuple[Side, np.ndarray, np.ndarray]]:
-    """Per side: the units of all texts of a batch in a row, texts being set apart by 0, and where each text starts."""
-    words = [normal_words(t) if t else [] for t in batch.column(1).to_pylist()]
-    for side, letters in zip(sides, (False, True), strict=True):
-        if not side.items:
-            continue
-        get = side.ids.get
-        ids: list[int] = []
-        starts = []
-        for w in words:
-            starts.append(len(ids))
-            if letters:
-                joined = "".join(w)
-                if CJK.search(joined):
-                    ids.extend([get(u, 0) for u in joined])
-            else:
-                ids.extend([get(u, 0) for u in w])
-            ids.append(0)
-        yield side, np.array(ids, np.uint64), np.array([*starts, len(ids)], np.int64)
-
-
-def _count(sides: tuple[Side, Side]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _documents(texts: list[str | None], sides: tuple[Side, Side]) -> Iterator[tuple[int, list[int], np.ndarray, np.ndarray]]:
+    """Per side and group of texts: number of the side, places of the texts, the units of all of them in a row, with a 0
+    after each text, and where each text starts (and the last ends)."""
+    by_word, by_letter = sides
+    letters = np.array(sorted(map(ord, by_letter.ids)), np.uint32)
+    numbers = np.array([by_letter.ids[chr(c)] for c in letters.tolist()], np.int64)
+    known = by_word.ids | {APART: -1}
+    for places in _groups(texts):
+        words = _joined([texts[i] for i in places])
+        if by_word.items:
+            get = known.get
+            ids = np.array([get(w, 0) for w in words], np.int64)
+            ends = np.flatnonzero(ids == -1)
+            ids[ends] = 0
+            yield 0, places, ids.astype(np.uint64), np.concatenate([[0], ends + 1])
+        if by_letter.items and not texts[places[0]].isascii():
+            whole = "".join(words)
+            if CJK.search(whole):
+                points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+                at = np.minimum(np.searchsorted(letters, points), len(letters) - 1)
+                ids = np.where(letters[at] == points, numbers[at], 0)
+                yield 1, places, ids.astype(np.uint64), np.concatenate([[0], np.flatnonzero(points == ord(APART)) + 1])
+
+
+def _held(grams: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose n-gram is among the sorted ``grams``, and its number there."""
+    at = np.flatnonzero(h)
+    slot = np.searchsorted(grams, h[at])
+    slot[slot == len(grams)] = 0
+    real = grams[slot] == h[at] if len(grams) else np.zeros(len(at), bool)
+    return at[real], slot[real]
+
+
+def _encode(sides: tuple[Side, Side], edited: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents that may hold a copy: their units as numbers, and the item n-grams they hold."""
+
+    def of(batch: pa.RecordBatch) -> Iterator[tuple]:
+        texts = batch.column(1).to_pylist()
+        keys = batch.column(0)
+        for number, places, ids, starts in _documents(texts, sides):
+            side = sides[number]
+            at, slot = _held(side.grams, side.hashes(ids))
+            if not len(at):
+                continue
+            doc = np.searchsorted(starts, at, side="right") - 1
+            if edited:
+                chosen = np.flatnonzero(np.bincount(doc) > 1)
+            else:  # all n-grams of an exact run are item n-grams, one after the other
+                need = side.rule.min_run - side.rule.gram
+                row = np.flatnonzero(at[need:] - at[: len(at) - need] == need) if len(at) > need else np.zeros(0, np.int64)
+                chosen = np.unique(doc[row])
+            low, high = np.searchsorted(doc, chosen), np.searchsorted(doc, chosen, side="right")
+            for d, a, b in zip(chosen.tolist(), low.tolist(), high.tolist(), strict=True):
+                yield keys[places[d]].as_py(), number, ids[starts[d] : starts[d + 1] - 1].astype(np.int32), np.unique(side.grams[slot[a:b]]).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [np.zeros(len(s.grams), np.int64) for s in sides]
         for batch in batches:
-            for side, ids, starts in _documents(batch, sides):
-                h = side.hashes(ids)
-                at = np.flatnonzero(h)
-                slot = np.searchsorted(side.grams, h[at])
-                slot[slot == len(side.grams)] = 0
-                real = side.grams[slot] == h[at]
-                doc = np.searchsorted(starts, at[real], side="right")
-                pairs = np.unique(doc * len(side.grams) + slot[real])  # once for each document
-                totals[sides.index(side)] += np.bincount(pairs % len(side.grams), minlength=len(side.grams))
-        for number, (side, total) in enumerate(zip(sides, totals, strict=True)):
-            kept = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"side": pa.array([number] * len(kept), pa.int32()), "gram": pa.array(side.grams[kept].astype(np.int64)), "documents": pa.array(total[kept])})
+            if rows := list(of(batch)):
+                keys, numbers, ids, grams = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(grams, pa.list_(pa.int64()))], names=["doc_id", "side", "ids", "grams"])
 
     return run
 
 
-def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int]:
-    """Best local alignment of ``a`` with ``b``: its score, and where it ends in each (exclusive)."""
+def _score_rows(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> Iterator[np.ndarray]:
+    """The rows of the Smith-Waterman matrix, one for each unit of ``a``; the same array, overwritten."""
     steps = np.arange(1, len(b) + 1) * -gap
-    row, best = np.zeros(len(b) + 1, np.int64), (0, 0, 0)
-    for i, unit in enumerate(a):
-        step = np.maximum(row[:-1] + np.where((b == unit) & (unit != 0), match, mismatch), row[1:] + gap)
-        step = np.maximum(step, 0)
+    row = np.zeros(len(b) + 1, np.int64)
+    for unit in a:
+        step = np.where(b == unit, match, mismatch) if unit else mismatch
+        step = np.maximum(np.maximum(row[:-1] + step, row[1:] + gap), 0)
         # A gap along the row costs the same per unit, so the best one ends a running maximum.
-        step = np.maximum.accumulate(step + steps) - steps
-        row = np.concatenate([[0], np.maximum(step, 0)])
+        step += steps
+        np.maximum.accumulate(step, out=step)
+        np.subtract(step, steps, out=row[1:])
+        yield row
+
+
+def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Best local alignment of ``a`` with ``b``: its score, and where it ends in each (exclusive)."""
+    best = (0, 0, 0)
+    for i, row in enumerate(_score_rows(a, b)):
         top = int(row.argmax())
         if row[top] > best[0]:
             best = (int(row[top]), i + 1, top)
     return best
 
 
-def _stretch(a: np.ndarray, b: np.ndarray, least_score: float, least_length: int, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, float]:
+def _stretch(rows: np.ndarray, a: np.ndarray, b: np.ndarray, least_score: float, least_length: int, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, float, int]:
     """Of the alignment that ends with ``a`` and ``b``: length and score (of 1) of its longest stretch of ``least_length``
-    or more that scores ``least_score``; of the whole alignment, if there is none."""
-    rows = [np.zeros(len(b) + 1, np.int64)]
-    steps = np.arange(1, len(b) + 1) * -gap
-    for unit in a:
-        step = np.maximum(rows[-1][:-1] + np.where((b == unit) & (unit != 0), match, mismatch), rows[-1][1:] + gap)
-        step = np.maximum.accumulate(np.maximum(step, 0) + steps) - steps
-        rows.append(np.concatenate([[0], np.maximum(step, 0)]))
+    or more that scores ``least_score``; of the whole alignment, if there is none. And where the alignment starts in ``a``."""
     i, j, scores = len(a), len(b), []
     while i and j and rows[i][j] > 0:
         score = match if a[i - 1] == b[j - 1] != 0 else mismatch
@@ -207,8 +280,8 @@ def _stretch(a: np.ndarray, b: np.ndarray, least_score: float, least_length: int
     for length in range(len(scores), least_length - 1, -1):
         starts = np.flatnonzero(over[length:] >= over[: len(over) - length])
         if len(starts):
-            return length, float(sums[starts[0] + length] - sums[starts[0]]) / (match * length)
-    return len(scores), float(sums[-1]) / (match * max(1, len(scores)))
+            return length, float(sums[starts[0] + length] - sums[starts[0]]) / (match * length), i
+    return len(scores), float(sums[-1]) / (match * max(1, len(scores))), i
 
 
 def _most(a: np.ndarray, b: np.ndarray, match: int = 2, miss: int = -1) -> int:
@@ -232,93 +305,114 @@ def _run_length(a: np.ndarray, i: int, b: np.ndarray, j: int) -> tuple[int, int]
     return i - before, before + after
 
 
-def _match(sides: tuple[Side, Side], least_score: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def of(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for side, ids, starts in _documents(batch, sides):
-            if not len(side.seeds):
-                continue
-            h = side.hashes(ids)
-            at = np.flatnonzero(h)
-            slot = np.searchsorted(side.seeds, h[at])
-            slot[slot == len(side.seeds)] = 0
-            real = side.seeds[slot] == h[at]
-            hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-            for place, s in zip(at[real].tolist(), slot[real].tolist(), strict=True):
-                doc = int(np.searchsorted(starts, place, side="right")) - 1
-                for item, j in side.places[s]:
-                    hits[doc, item].append((place, j))
-            for (doc, item), found in hits.items():
-                judged = _judge(side, ids, int(starts[doc]), int(starts[doc + 1]) - 1, item, found, least_score)
-                if judged:
-                    yield doc, *judged
-
+def _match(sides: tuple[Side, Side], least_score: float, edited: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("doc_id", "eval_id", "run", "run_start", "score", "align_end", "kind", "stretch", "stretch_score")
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.string(), pa.int32(), pa.float64())
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            rows = [dict(zip(names, (keys[doc], *rest), strict=True)) for doc, *rest in of(batch)]
+            rows = []
+            lists = batch.column(2)
+            for k, (key, number) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                ids = lists[k].values.to_numpy(zero_copy_only=False).astype(np.uint64)
+                rows += [dict(zip(names, (key, *found), strict=True)) for found in _judge(sides[number], ids, least_score, edited)]
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.string(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(zip(names, kinds, strict=True))))
 
     return run
 
 
-def _judge(side: Side, ids: np.ndarray, start: int, end: int, item: int, found: list[tuple[int, int]], least_score: float) -> tuple | None:
-    """(eval_id, run, run_start, score, align_end, kind, stretch, stretch_score) of one document and item: the longest run, and the best alignment of
-    the stretches in which a seed lies at its place in the item. None if no alignment can reach ``least_score``."""
-    eval_id, units = side.items[item]
-    text = ids[start:end]
-    run, at = 0, 0
+def _judge(side: Side, text: np.ndarray, least_score: float, edited: bool) -> Iterator[tuple]:
+    """(eval_id, run, run_start, score, align_end, kind, stretch, stretch_score) of every item that the text holds a
+    copy or an edited copy of: the longest run, and the best alignment of the stretches in which a seed lies at its
+    place in the item. Text that is an exact copy of an item takes no part in edited copies."""
+    least = side.rule.min_run
+    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for place, s in zip(*(x.tolist() for x in _held(side.seeds, side.hashes(text))), strict=True):
+        for item, j in side.places[s]:
+            hits[item].append((place, j))
+    copied = np.zeros(len(text), bool)
+    runs: dict[int, tuple[int, int]] = {}
+    for item, found in hits.items():
+        units = side.items[item][1]
+        passed: dict[int, int] = {}  # diagonal -> end of the last run seen on it
+        best = (0, 0)
+        for i, j in found:
+            if i < passed.get(i - j, 0):
+                continue
+            first, length = _run_length(text, i, units, j)
+            passed[i - j] = first + length
+            best = max(best, (length, -first))
+            if length >= least:
+                copied[first : first + length] = True
+        runs[item] = best[0], -best[1]
+    rest = np.where(copied, np.uint64(0), text) if copied.any() else text
+    likely: list[tuple[int, int, int, tuple]] = []
+    for item, found in hits.items():
+        eval_id, units = side.items[item]
+        run, at = runs[item]
+        if run >= least:
+            yield from (row for *_, row in _aligned(text, units, found, eval_id, run, at, "copy", least, least_score))
+        elif edited:
+            found = [(i, j) for i, j in found if not copied[i : i + side.rule.gram].any()]
+            covered = {i + k for i, _ in found for k in range(side.rule.gram)}
+            if 2 * len(covered) >= least:
+                likely += _aligned(rest, units, found, eval_id, run, at, "edited", least, least_score)
+    for score, low, high, row in likely:
+        if not any(low < h and l < high and score < ALIKE * s for s, l, h, _ in likely):
+            yield row
+
+
+def _aligned(text: np.ndarray, units: np.ndarray, found: list[tuple[int, int]], eval_id: int, run: int, at: int, kind: str, least: int, least_score: float) -> Iterator[tuple[int, int, int, tuple]]:
+    """(score, start, end, row) of the best alignment, if the item is a copy or the alignment is good enough."""
     stretches: list[list[int]] = []
-    passed: dict[int, int] = {}  # diagonal -> end of the last run seen on it
-    for place, j in sorted(found):
-        i = place - start
-        if i < passed.get(i - j, 0):
-            continue
-        first, length = _run_length(text, i, units, j)
-        passed[i - j] = first + length
-        if length > run:
-            run, at = length, first
-        low, high = max(0, i - j - len(units) // 2), min(len(text), i - j + len(units) + len(units) // 2)
+    for low, high in sorted((max(0, i - j - len(units) // 2), min(len(text), i - j + len(units) + len(units) // 2)) for i, j in found):
         if stretches and low <= stretches[-1][1]:
             stretches[-1][1] = max(stretches[-1][1], high)
         else:
             stretches.append([low, high])
-    copy = run >= side.rule.min_run
-    if not copy:
-        stretches = [[low, high] for low, high in stretches if _most(text[low:high], units) >= 2 * least_score * side.rule.min_run]
-        if not stretches:
-            return None
-    need = 2 * least_score * side.rule.min_run
-    best, ends, stretch, share, fits = 0, 0, 0, 0.0, False
+    need = 0 if kind == "copy" else 2 * least_score * least
+    best, starts, ends, stretch, share, fits = 0, 0, 0, 0, 0.0, False
     for low, high in stretches:
-        score, i, j = smith_waterman(text[low:high], units)
-        if not score or score < need and not copy:
+        if need and _most(text[low:high], units) < need:
             continue
-        # A path with a score above 0 has no more than two gaps for each unit of the item.
-        length, part = _stretch(text[max(low, low + i - 3 * j) : low + i], units[:j], least_score, side.rule.min_run)
-        good = length >= side.rule.min_run and part >= least_score or score >= 2 * least_score * len(units)
+        first = low
+        if (high - low) * len(units) <= CELLS:
+            rows = np.zeros((high - low + 1, len(units) + 1), np.int64)
+            for k, row in enumerate(_score_rows(text[low:high], units)):
+                rows[k + 1] = row
+            i, j = np.unravel_index(int(rows.argmax()), rows.shape)
+            score = int(rows[i, j])
+            if not score or score < need:
+                continue
+        else:
+            score, i, j = smith_waterman(text[low:high], units)
+            if not score or score < need:
+                continue
+            # A path with a score above 0 has no more than two gaps for each unit of the item.
+            first = max(low, low + i - 3 * j)
+            i -= first - low
+            rows = np.array([np.zeros(j + 1, np.int64), *(row.copy() for row in _score_rows(text[first : first + i], units[:j]))])
+        length, part, begin = _stretch(rows, text[first : first + i], units[:j], least_score, least)
+        good = length >= least and part >= least_score
         if (good, score) > (fits, best):
-            best, ends, stretch, share, fits = score, low + i, length, part, good
-    if not (copy or fits):
-        return None
-    return eval_id, run, at, best / (2 * len(units)), ends, "copy" if copy else "edited", stretch, share
+            best, starts, ends, stretch, share, fits = score, first + begin, first + int(i), length, part, good
+    if fits or kind == "copy":
+        yield best, starts, ends, (eval_id, run, at, best / (2 * len(units)), ends, kind, stretch, share)
 
 
-def leaks(documents: DataFrame, items: DataFrame, words: Rule = WORDS, letters: Rule = LETTERS, least_score: float = 0.5, edited: bool = True) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, words: Rule = WORDS, letters: Rule = LETTERS, least_score: float = 0.6, edited: bool = True) -> DataFrame:
     """One row per document and item that meet in a seed and are a copy or an edited copy.
 
     Columns: doc_id, eval_id, ``run`` (units of the item in a row), ``run_start`` (its place among the document's
     units), ``score`` (Smith-Waterman, of the whole item's), ``align_end``, ``kind``, ``stretch`` (units of the aligned
     stretch) and ``stretch_score`` (its score, of the same number of equal units). The kind is ``copy`` if the run has
     ``min_run`` units, else ``edited`` if a stretch of ``min_run`` units or more scores ``least_score`` of its own
-    length, however long the item, or the score of the whole item is as much. Without ``edited`` only copies are
-    sought, which needs fewer seeds.
+    length, however long the item: with the scores of 2 for a match and -1 for a change, 0.6 stands for 73 percent of
+    equal units. Without ``edited`` only copies are sought, which needs fewer seeds.
     """
     if not (words.gram <= words.min_run and letters.gram <= letters.min_run):
         raise ValueError("an n-gram must not be longer than the run it seeks")
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = enough_tasks(documents).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = [_block(texts, block, words, letters, edited, least_score) for block in _blocks(items)]
     if not parts:
         return texts.limit(0).select("doc_id", *[F.lit(None).cast(k).alias(n) for n, k in (("eval_id", "bigint"), ("run", "int"), ("run_start", "int"), ("score", "double"), ("align_end", "int"), ("kind", "string"), ("stretch", "int"), ("stretch_score", "double"))])
@@ -345,10 +439,11 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None, str | None
 
 def _block(texts: DataFrame, block: list[tuple], words: Rule, letters: Rule, edited: bool, least_score: float) -> DataFrame:
     sides = _sides(block, words, letters)
-    counts = texts.mapInArrow(_count(sides), "side int, gram bigint, documents bigint").groupBy("side", "gram").agg(F.sum("documents").alias("documents"))
-    held: tuple[dict[int, int], dict[int, int]] = ({}, {})
+    held = cut_lineage(texts.mapInArrow(_encode(sides, edited), "doc_id bigint, side int, ids array<int>, grams array<bigint>"))
+    counts = held.select("side", F.explode("grams").alias("gram")).groupBy("side", "gram").agg(F.count(F.lit(1)).alias("documents"))
+    per_side: tuple[dict[int, int], dict[int, int]] = ({}, {})
     for side, gram, n in counts.collect():  # no more rows than n-grams of the block
-        held[side][gram % (1 << 64)] = n
-    for side, documents in zip(sides, held, strict=True):
+        per_side[side][gram % (1 << 64)] = n
+    for side, documents in zip(sides, per_side, strict=True):
         side.choose(documents, edited)
-    return texts.mapInArrow(_match(sides, least_score), "doc_id bigint, eval_id bigint, run int, run_start int, score double, align_end int, kind string, stretch int, stretch_score double")
+    return held.mapInArrow(_match(sides, least_score, edited), "doc_id bigint, eval_id bigint, run int, run_start int, score double, align_end int, kind string, stretch int, stretch_score double")
