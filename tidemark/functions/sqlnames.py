@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Text of an RFC 3339 time to nanoseconds: the fraction is taken from the text, as timestamps end at microseconds.
+# Text of an RFC 3339 time to nanoseconds: the fraction is taken from the text, as timestamps end at microseconds. A time
+# without an offset is in UTC.
 _NS = """
-  unix_seconds(to_timestamp(regexp_extract(t, '^([^.Z+]*)', 1))) * 1000000000
+  unix_seconds(to_timestamp(concat(regexp_extract(t, '^([^.Z+]{10}[T ][0-9:]+|[^T ]+)', 1), coalesce(nullif(regexp_extract(t, '[T ][^Z+-]*([+-][0-9]{2}:?[0-9]{2})$', 1), ''), 'Z')))) * 1000000000
   + CAST(rpad(coalesce(nullif(regexp_extract(t, '[.]([0-9]{1,9})', 1), ''), '0'), 9, '0') AS BIGINT)
 """
 

@@ -4,15 +4,18 @@ Rows are never brought together by key. Each input split (splits are equal in by
 dictionary-encoded and reduced into dense accumulator arrays with ``numpy.bincount`` and scatter-minimum/maximum; what
 leaves the split is one page per block of keys: the page's dictionary and its arrays. Pages are then summed block by
 block in a distributed reduction of two rounds, so that no task sees more than its share of pages, and a hot key costs
-one array slot per split like any other.
+one array slot per split like any other. Blocks are many more than tasks, and a task holds one at a time.
+
+Whole numbers are summed exactly, as their upper and lower 32 bits apart.
 
 Defined cases: a null key is a key of its own; null times and values are not counted in bounds, ``values`` or ``total``
-though their row is in ``rows``; NaN counts as a value; an empty table gives no rows. Only the named columns are read,
-so extra columns cannot clash.
+though their row is in ``rows``; NaN counts as a value; a value without an order is never the last; an empty table gives
+no rows. Only the named columns are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,34 +29,42 @@ INT_MIN, INT_MAX = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 FLUSH_KEYS = 1 << 19
 
 
+#: Accumulators: how a slot starts, and how two of them are merged. Fixed values.
+ADDED = ("rows", "values", "total", "upper", "lower")
+START = {"rows": 0, "values": 0, "total": 0.0, "upper": 0, "lower": 0, "low": INT_MAX, "high": INT_MIN, "last_order": INT_MIN, "last_value": np.nan}
+FLOATS = ("total", "last_value")
+
+
 class _Dense:
     """Accumulator arrays over a growing dictionary: ``ids`` maps a key to its slot."""
 
-    def __init__(self) -> None:
+    def __init__(self, names: list[str]) -> None:
         self.ids: dict[tuple, int] = {}
-        self.rows = np.zeros(0, np.int64)
-        self.values = np.zeros(0, np.int64)
-        self.total = np.zeros(0, np.float64)
-        self.low = np.zeros(0, np.int64)
-        self.high = np.zeros(0, np.int64)
+        self.arrays = {n: np.zeros(0, np.float64 if n in FLOATS else np.int64) for n in names}
 
     def slots(self, keys: list[tuple]) -> np.ndarray:
         ids = self.ids
         found = np.fromiter((ids.setdefault(k, len(ids)) for k in keys), np.int64, len(keys))
-        if (short := len(ids) - len(self.rows)) > 0:
-            room = max(short, len(self.rows))
-            grow = lambda a, fill: np.concatenate([a, np.full(room, fill, a.dtype)])
-            self.rows, self.values, self.total = grow(self.rows, 0), grow(self.values, 0), grow(self.total, 0)
-            self.low, self.high = grow(self.low, INT_MAX), grow(self.high, INT_MIN)
+        held = len(self.arrays["rows"])
+        if (short := len(ids) - held) > 0:
+            room = max(short, held)
+            for name, a in self.arrays.items():
+                self.arrays[name] = np.concatenate([a, np.full(room, START[name], a.dtype)])
         return found
 
-    def merge(self, slots: np.ndarray, rows, values, total, low, high) -> None:  # noqa: ANN001
+    def merge(self, slots: np.ndarray, page: dict[str, np.ndarray]) -> None:
         """Scatter one page; its slots are distinct, so plain indexing is enough."""
-        self.rows[slots] += rows
-        self.values[slots] += values
-        self.total[slots] += total
-        self.low[slots] = np.minimum(self.low[slots], low)
-        self.high[slots] = np.maximum(self.high[slots], high)
+        held = self.arrays
+        for name in ADDED:
+            if name in held:
+                held[name][slots] += page[name]
+        held["low"][slots] = np.minimum(held["low"][slots], page["low"])
+        held["high"][slots] = np.maximum(held["high"][slots], page["high"])
+        if "last_order" in held:
+            order, value = held["last_order"][slots], held["last_value"][slots]
+            newer = (page["last_order"] > order) | (page["last_order"] == order) & (page["last_value"] > value)
+            held["last_order"][slots] = np.where(newer, page["last_order"], order)
+            held["last_value"][slots] = np.where(newer, page["last_value"], value)
 
 
 def _encode(batch: pa.RecordBatch, n_keys: int) -> tuple[np.ndarray, list[tuple]]:
@@ -72,26 +83,42 @@ def _encode(batch: pa.RecordBatch, n_keys: int) -> tuple[np.ndarray, list[tuple]
     return codes, keys
 
 
-def _reduce_split(n_keys: int, key_types: list[pa.DataType], blocks: int):  # noqa: ANN202
+def _reduce_split(n_keys: int, key_types: list[pa.DataType], names: list[str], blocks: int):  # noqa: ANN202
+    def page_of(batch: pa.RecordBatch, codes: np.ndarray, n: int) -> dict[str, np.ndarray]:
+        time, value = batch.column(n_keys), batch.column(n_keys + 1)
+        at = np.asarray(time.is_valid())
+        t, tc = time.fill_null(0).to_numpy(zero_copy_only=False)[at], codes[at]
+        page = {"rows": np.bincount(codes, minlength=n), "low": np.full(n, INT_MAX), "high": np.full(n, INT_MIN)}
+        np.minimum.at(page["low"], tc, t)
+        np.maximum.at(page["high"], tc, t)
+        has = np.asarray(value.is_valid())
+        v, vc = value.fill_null(0).to_numpy(zero_copy_only=False)[has], codes[has]
+        page["values"] = np.bincount(vc, minlength=n)
+        if "upper" in names:  # a batch's sums of 32 bits are exact in doubles
+            page["upper"] = np.bincount(vc, weights=v >> 32, minlength=n).astype(np.int64)
+            page["lower"] = np.bincount(vc, weights=v & 0xFFFFFFFF, minlength=n).astype(np.int64)
+        else:
+            page["total"] = np.bincount(vc, weights=v, minlength=n)
+        if "last_order" in names:
+            order = batch.column(n_keys + 2)
+            known = has & np.asarray(order.is_valid())
+            o, v, vc = order.fill_null(0).to_numpy(zero_copy_only=False)[known], value.fill_null(0).to_numpy(zero_copy_only=False)[known].astype(np.float64), codes[known]
+            page["last_order"], page["last_value"] = np.full(n, INT_MIN), np.full(n, np.nan)
+            placed = np.lexsort((v, o, vc))
+            ends = placed[np.flatnonzero(np.diff(vc[placed], append=-1))] if len(placed) else placed
+            page["last_order"][vc[ends]], page["last_value"][vc[ends]] = o[ends], v[ends]
+        return page
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Dense()
+        held = _Dense(names)
         for batch in batches:
             if not batch.num_rows:
                 continue
             codes, keys = _encode(batch, n_keys)
-            n = len(keys)
-            time, value = batch.column(n_keys), batch.column(n_keys + 1)
-            at = np.asarray(time.is_valid())
-            t, tc = time.fill_null(0).to_numpy(zero_copy_only=False)[at], codes[at]
-            low, high = np.full(n, INT_MAX), np.full(n, INT_MIN)
-            np.minimum.at(low, tc, t)
-            np.maximum.at(high, tc, t)
-            has = np.asarray(value.is_valid())
-            v, vc = value.fill_null(0.0).to_numpy(zero_copy_only=False)[has], codes[has]
-            held.merge(held.slots(keys), np.bincount(codes, minlength=n), np.bincount(vc, minlength=n), np.bincount(vc, weights=v, minlength=n), low, high)
+            held.merge(held.slots(keys), page_of(batch, codes, len(keys)))
             if len(held.ids) > FLUSH_KEYS:
                 yield from _pages(held, key_types, blocks)
-                held = _Dense()
+                held = _Dense(names)
         yield from _pages(held, key_types, blocks)
 
     return run
@@ -109,8 +136,8 @@ def _pages(held: _Dense, key_types: list[pa.DataType], blocks: int) -> Iterator[
     listed = lambda a: pa.ListArray.from_arrays(offsets, a)
     columns = [pa.array(block[order][starts], pa.int64())]
     columns += [listed(pa.array([keys[i][k] for i in order.tolist()], kind)) for k, kind in enumerate(key_types)]
-    columns += [listed(pa.array(a[: len(keys)][order])) for a in (held.rows, held.values, held.total, held.low, held.high)]
-    yield pa.RecordBatch.from_arrays(columns, names=["block", *(f"k{i}" for i in range(len(key_types))), "rows", "values", "total", "low", "high"])
+    columns += [listed(pa.array(a[: len(keys)][order])) for a in held.arrays.values()]
+    yield pa.RecordBatch.from_arrays(columns, names=["block", *(f"k{i}" for i in range(len(key_types))), *held.arrays])
 
 
 def _block_of(key: tuple, blocks: int) -> int:
@@ -120,51 +147,75 @@ def _block_of(key: tuple, blocks: int) -> int:
     return xxhash.xxh3_64_intdigest(repr(key).encode("utf-8", "surrogatepass")) % blocks
 
 
-def _reduce_pages(n_keys: int, key_types: list[pa.DataType], blocks: int, final: bool):  # noqa: ANN202
+def _results(held: _Dense, key_types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    if not (n := len(held.ids)):
+        return
+    arrays = {name: a[:n] for name, a in held.arrays.items()}
+    columns = {f"k{i}": pa.array([key[i] for key in held.ids], kind) for i, kind in enumerate(key_types)}
+    none, empty = arrays["low"] > arrays["high"], arrays["values"] == 0
+    columns |= {"rows": pa.array(arrays["rows"]), "values": pa.array(arrays["values"])}
+    if "upper" in arrays:
+        columns["total"] = pa.array([None if e else (u << 32) + w for e, u, w in zip(empty.tolist(), arrays["upper"].tolist(), arrays["lower"].tolist(), strict=True)], pa.decimal128(38, 0))
+    else:
+        columns["total"] = pa.array(arrays["total"], mask=empty)
+    columns |= {"low": pa.array(arrays["low"], mask=none), "high": pa.array(arrays["high"], mask=none)}
+    if "last_order" in arrays:
+        never = arrays["last_order"] == INT_MIN
+        columns |= {name: pa.array(arrays[name], mask=never) for name in ("last_order", "last_value")}
+    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _reduce_pages(n_keys: int, key_types: list[pa.DataType], names: list[str], blocks: int, final: bool):  # noqa: ANN202
+    """Sums the pages of one block after the other; pages come sorted by block."""
+
+    def done(held: _Dense) -> Iterator[pa.RecordBatch]:
+        return _results(held, key_types) if final else _pages(held, key_types, blocks)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Dense()
+        held, block = _Dense(names), None
         for batch in batches:
-            lists = {name: batch.column(name) for name in batch.schema.names if name not in ("block", "lane")}
-            for row in range(batch.num_rows):
+            lists = {name: batch.column(name) for name in (*(f"k{i}" for i in range(n_keys)), *names)}
+            for row, own in enumerate(batch.column("block").to_pylist()):
+                if own != block:
+                    yield from done(held)
+                    held, block = _Dense(names), own
                 page = {name: lists[name][row].values for name in lists}
                 keys = list(zip(*(page[f"k{i}"].to_pylist() for i in range(n_keys)), strict=True))
-                arrays = [page[name].to_numpy(zero_copy_only=False) for name in ("rows", "values", "total", "low", "high")]
-                held.merge(held.slots(keys), *arrays)
-        if not final:
-            yield from _pages(held, key_types, blocks)
-        elif n := len(held.ids):
-            columns = [pa.array([key[i] for key in held.ids], kind) for i, kind in enumerate(key_types)]
-            none = (held.low[:n] == INT_MAX) & (held.high[:n] == INT_MIN)
-            columns += [pa.array(held.rows[:n]), pa.array(held.values[:n]), pa.array(held.total[:n], mask=held.values[:n] == 0)]
-            columns += [pa.array(held.low[:n], mask=none), pa.array(held.high[:n], mask=none)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(f"k{i}" for i in range(n_keys)), "rows", "values", "total", "low", "high"])
+                held.merge(held.slots(keys), {name: page[name].to_numpy(zero_copy_only=False) for name in names})
+        yield from done(held)
 
     return run
 
 
-def key_totals(df: DataFrame, keys: list[str], time: str = "time", value: str | None = None, blocks: int | None = None, lanes: int = 8) -> DataFrame:
-    """One row for each key: ``rows``, ``values`` (non-null), ``total``, ``time_min``, ``time_max``.
+def key_totals(df: DataFrame, keys: list[str], time: str = "time", value: str | None = None, order: str | None = None, blocks: int | None = None) -> DataFrame:
+    """One row for each key: ``rows``, ``values`` (non-null), ``total``, ``time_min``, ``time_max``; with ``order`` also
+    ``last_value``, as a double, and its ``last_order``: of equal orders the larger value counts.
 
-    ``blocks`` spreads the dictionary (the number of shuffle partitions if not given); ``lanes`` is the width of the
-    first round of the reduction, so that round's tasks each get the pages of ``1 / (blocks x lanes)`` of the splits.
+    ``total`` is a decimal(38,0) for whole numbers, else a double. ``blocks`` spreads the dictionary (32 for each shuffle
+    partition if not given). Pages go through lanes first, as many as the square root of the number of splits, so that
+    both rounds of the reduction merge about as many pages in a task.
     """
-    spark = df.sparkSession
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark, c = df.sparkSession, F.col
+    blocks = blocks or 32 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     types = [df.schema[k].dataType for k in keys]
     arrow = [_arrow_type(t) for t in types]
-    number = F.col(f"`{value}`").cast("double") if value else F.lit(None).cast("double")
-    rows = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.col(f"`{time}`").cast("bigint").alias("t"), number.alias("v"))
-    lists = [T.StructField(f"k{i}", T.ArrayType(t)) for i, t in enumerate(types)]
-    arrays = [T.StructField(n, T.ArrayType(T.DoubleType() if n == "total" else T.LongType())) for n in ("rows", "values", "total", "low", "high")]
-    page = T.StructType([T.StructField("block", T.LongType()), *lists, *arrays])
-    out = T.StructType([*(T.StructField(f"k{i}", t) for i, t in enumerate(types)), *(T.StructField(n, T.DoubleType() if n == "total" else T.LongType()) for n in ("rows", "values", "total", "low", "high"))])
-    pages = rows.mapInArrow(_reduce_split(len(keys), arrow, blocks), page)
+    whole = value is not None and isinstance(df.schema[value].dataType, T.IntegralType)
+    number = c(f"`{value}`").cast("bigint" if whole else "double") if value else F.lit(None).cast("double")
+    names = ["rows", "values", *(("upper", "lower") if whole else ("total",)), "low", "high", *(("last_order", "last_value") if order else ())]
+    rows = df.select(*[c(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], c(f"`{time}`").cast("bigint").alias("t"), number.alias("v"), *([c(f"`{order}`").cast("bigint").alias("o")] if order else []))
+    kind = lambda n: T.DoubleType() if n in FLOATS else T.LongType()
+    page = T.StructType([T.StructField("block", T.LongType()), *(T.StructField(f"k{i}", T.ArrayType(t)) for i, t in enumerate(types)), *(T.StructField(n, T.ArrayType(kind(n))) for n in names)])
+    results = {"rows": T.LongType(), "values": T.LongType(), "total": T.DecimalType(38, 0) if whole else T.DoubleType(), "low": T.LongType(), "high": T.LongType()}
+    results |= {"last_order": T.LongType(), "last_value": T.DoubleType()} if order else {}
+    out = T.StructType([*(T.StructField(f"k{i}", t) for i, t in enumerate(types)), *(T.StructField(n, t) for n, t in results.items())])
+    pages = rows.mapInArrow(_reduce_split(len(keys), arrow, names, blocks), page)
     # Pages of one split go to one lane: the lane is set by where the page was made.
+    lanes = max(2, math.isqrt(rows.rdd.getNumPartitions()))
     laned = pages.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
-    first = laned.repartition(F.col("block"), F.col("lane")).mapInArrow(_reduce_pages(len(keys), arrow, blocks, False), page)
-    last = first.repartition(F.col("block")).mapInArrow(_reduce_pages(len(keys), arrow, blocks, True), out)
-    names = [F.col(f"k{i}").alias(k) for i, k in enumerate(keys)]
-    return last.select(*names, "rows", "values", "total", F.col("low").alias("time_min"), F.col("high").alias("time_max"))
+    first = laned.repartition(c("block"), c("lane")).sortWithinPartitions("block").drop("lane").mapInArrow(_reduce_pages(len(keys), arrow, names, blocks, False), page)
+    last = first.repartition(c("block")).sortWithinPartitions("block").mapInArrow(_reduce_pages(len(keys), arrow, names, blocks, True), out)
+    shown = {"low": "time_min", "high": "time_max"}
+    return last.select(*[c(f"k{i}").alias(k) for i, k in enumerate(keys)], *[c(n).alias(shown.get(n, n)) for n in results])
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
@@ -181,14 +232,7 @@ def heavy_keys(df: DataFrame, keys: list[str], share: tuple[int, int] = (3, 100)
 
 
 def last_values(df: DataFrame, point: list[str], value: str = "value", order: str = "seq") -> DataFrame:
-    """The last non-null ``value`` of every point (null if it never had one), with the number of times it was written.
-
-    A point includes its time, so points are as fine-grained as the data and no group is hot; copies of one point are
-    combined before the shuffle. Of equal ``order`` the larger value counts.
-    """
-    last = F.max(F.when(F.col(value).isNotNull() & F.col(order).isNotNull(), F.col(order)))
-    if isinstance(df.schema[value].dataType, (T.StringType, T.StructType, T.ArrayType)):
-        taken = F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(order), F.col(value))))[value]
-    else:
-        taken = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order)))
-    return df.groupBy(*point).agg(taken.alias(value), last.alias(order), F.count(F.lit(1)).alias("writes"))
+    """The last non-null ``value`` of every point (null if it never had one), as a double, with its ``order`` and the
+    number of times the point was written. Of equal ``order`` the larger value counts."""
+    totals = key_totals(df, point, order, value, order)
+    return totals.select(*[F.col(f"`{p}`") for p in point], F.col("last_value").alias(value), F.col("last_order").alias(order), F.col("rows").alias("writes"))

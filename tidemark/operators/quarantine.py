@@ -104,11 +104,11 @@ def parse_lines(df: DataFrame, text_col: str = "lp_data", line_col: str = "line_
     )
     kind = F.when(F.col("_pos").isNull(), None).when(F.col("body") == "", "blank").when(F.col("body").startswith("#"), "comment").otherwise("line")
     errors = F.when(F.col("kind") == "line", F.array_compact(F.array(*_rules()))).otherwise(F.array().cast("array<string>"))
-    # Always true, but not deterministic: it keeps a filter on the errors from being pushed below, where every part
-    # would be extracted again for each of its uses in the rules.
-    errors = F.when(F.rand(0) >= 0, errors)
-    out = parts.withColumn("kind", kind).withColumn("errors", errors).withColumn(line_col, (F.col("_pos") + 1).cast("int"))
-    return out.drop("_line", "_pos", "_a")
+    # The judged line is generated as one struct: a filter on the errors stays above it, and is not pushed to where every
+    # part would be extracted again for each of its uses in the rules.
+    judged = parts.withColumn("kind", kind).withColumn("errors", errors).withColumn(line_col, (F.col("_pos") + 1).cast("int"))
+    shown = [line_col, "kind", "body", "measurement", "tags_raw", "fields_raw", "time_raw", "tail", "tag_keys", "tag_values", "field_keys", "field_values", "errors"]
+    return judged.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*shown))))
 
 
 def _rules() -> list[Column]:
@@ -174,11 +174,12 @@ def typed_rows(valid: DataFrame, default_time: Column | None = None) -> DataFram
 def load_report(writes: DataFrame, key: str = "request_id", text: str = "lp_data", claimed: str = "lines_written") -> DataFrame:
     """(request, line_no, reason, valid_lines): one row for each rejected line, and one with line_no 0 for each request
     whose claimed number is not null and is not its number of valid lines."""
-    parsed = parse_lines(writes.select(key, claimed, text), text)
+    # Requests are told apart by their row, as an id may repeat.
+    parsed = parse_lines(writes.select(key, claimed, text, F.monotonically_increasing_id().alias("_request")), text)
     valid = (F.col("kind") == "line") & (F.size("errors") == 0)
     bad = F.when(F.size("errors") > 0, F.struct("line_no", F.array_join("errors", "; ").alias("reason"), F.lit(None).cast("bigint").alias("valid_lines")))
     # A request's lines are made in one task, so this combines before the shuffle; its rejected lines are no longer than its text.
-    judged = parsed.groupBy(key, claimed).agg(F.count(F.when(valid, 1)).alias("_valid"), F.collect_list(bad).alias("_bad"))
+    judged = parsed.groupBy("_request", key, claimed).agg(F.count(F.when(valid, 1)).alias("_valid"), F.collect_list(bad).alias("_bad"))
     wrong = F.struct(F.lit(0).alias("line_no"), F.lit("lines_written differs").alias("reason"), F.col("_valid").alias("valid_lines"))
     cases = F.concat("_bad", F.when(F.col(claimed) != F.col("_valid"), F.array(wrong)).otherwise(F.slice("_bad", 1, 0)))
     return judged.select(key, F.explode(cases).alias("_case")).select(key, "_case.*")

@@ -72,14 +72,14 @@ def p2_reading_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT table_name, partition_key, count(*) AS n_rows, CAST(sum(row_count) AS DOUBLE) AS held_rows,
+SELECT table_name, partition_key, count(*) AS n_rows, CAST(sum(row_count) AS BIGINT) AS held_rows,
        min(epoch_us(time_of_first_write)) AS first_write_us, max(epoch_us(time_of_first_write)) AS last_write_us
 FROM (SELECT DISTINCT * FROM chunks) GROUP BY ALL
 """)
 def p2_chunk_totals(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").distinct().withColumn("us", F.unix_micros(F.col("time_of_first_write").cast("timestamp")))
     totals = hot_keys.key_totals(chunks, ["table_name", "partition_key"], time="us", value="row_count")
-    return totals.select("table_name", "partition_key", F.col("rows").alias("n_rows"), F.col("total").alias("held_rows"), F.col("time_min").alias("first_write_us"), F.col("time_max").alias("last_write_us"))
+    return totals.select("table_name", "partition_key", F.col("rows").alias("n_rows"), F.col("total").cast("bigint").alias("held_rows"), F.col("time_min").alias("first_write_us"), F.col("time_max").alias("last_write_us"))
 
 
 @query("""
