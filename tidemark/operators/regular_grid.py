@@ -2,7 +2,8 @@
 
 A request names a table, a half-open range, a window width and an offset. Readings meet their requests in an equi-join
 on table and time bucket with the range as a residual; a point written several times counts once, with its last
-non-null value. Per source the sorted grid is then merged as-of with the readings: every window knows the nearest
+non-null value. Where readings must be shuffled for that, points are made where the shuffle brought them, before
+requests multiply them, and buckets that hold many readings are spread by the source and time of the point. Per source the sorted grid is then merged as-of with the readings: every window knows the nearest
 reading before and after it, from which an empty window is filled by time-weighted linear interpolation at its stop,
 provided the two readings are no further apart than the gap limit, and is marked as a gap otherwise.
 
@@ -26,8 +27,10 @@ from tidemark.session import cut_lineage
 BUCKET = 3_600_000_000_000
 #: Windows in one block of a source's grid.
 BLOCK = 4096
-#: Spread of one table and bucket over several join keys.
-SALTS = 4
+#: A table and bucket with more readings than this is spread over several tasks, each of about so many ...
+HOT_ROWS = 1_000_000
+#: ... or, beyond this many times as many readings, of so small a share of them all: the hot ones are no more than that.
+MOST_HOT = 10_000
 #: Requests with no more bucket rows than this (some 100 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -46,19 +49,30 @@ def window_values(readings: DataFrame, requests: DataFrame, source: str = "host"
     asked = _requests(requests)
     floor = lambda t: int_div(t - F.pmod(t, F.lit(BUCKET)), BUCKET)
     buckets = F.sequence(floor(c("range_start")), floor(c("range_end") - 1))
+    left = asked.select("*", F.explode(buckets).alias("bucket"))
+    rows = readings.select("db_name", "table_name", c(source).alias("source"), "time", c("value").cast("double").alias("value"), "seq").filter(c("source").isNotNull() & c("time").isNotNull())
+    rows = rows.withColumn("bucket", floor(c("time")))
+    place, point = ["db_name", "table_name", "bucket"], ["source", "time"]
+    # A point written again counts once, with its last non-null value.
+    last = F.max_by("value", F.when(c("value").isNotNull(), c("seq"))).alias("value")
+    inside = (c("time") >= c("range_start")) & (c("time") < c("range_end"))
     # Spark estimates an exploded side by its size before; its true size decides here whether readings are shuffled.
     wide = asked.agg(F.sum(floor(c("range_end") - 1) - floor(c("range_start")) + 1)).first()[0] or 0
-    salts = 1 if wide <= BROADCAST_ROWS else SALTS
-    left = asked.select("*", F.explode(buckets).alias("bucket")).withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    left = F.broadcast(left) if salts == 1 else left.hint("merge")
-    rows = readings.select("db_name", "table_name", c(source).alias("source"), "time", c("value").cast("double").alias("value"), "seq").filter(c("source").isNotNull() & c("time").isNotNull())
-    rows = rows.withColumn("bucket", floor(c("time"))).withColumn("salt", F.pmod(F.xxhash64("source", "time"), F.lit(salts)).cast("int"))
-    met = rows.join(left, ["db_name", "table_name", "bucket", "salt"]).filter((c("time") >= c("range_start")) & (c("time") < c("range_end")))
+    if wide <= BROADCAST_ROWS:
+        met = rows.join(F.broadcast(left), place).filter(inside)
+        kept = [*place, *point, "request_id", "window_every", "window_offset"]
+        met = met.groupBy(*kept).agg(last)
+    else:
+        most = max(HOT_ROWS, rows.count() // MOST_HOT)
+        hot = rows.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / most).alias("salts")).filter("salts > 1")
+        spread = lambda df: df.join(F.broadcast(hot), place, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        salted = spread(rows).withColumn("salt", F.pmod(F.xxhash64(*point), c("salts"))).drop("salts")
+        points = salted.repartition(*place, "salt").groupBy(*place, "salt", *point).agg(last)
+        left = spread(left).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), c("salts") - 1)))
+        met = points.join(left.hint("merge"), [*place, "salt"]).filter(inside)
     at = window_start(c("time"), c("window_every"), c("window_offset"))
-    # A point written again counts once, with its last non-null value.
-    points = met.groupBy("request_id", "source", at.alias("w"), "time").agg(F.max_by("value", F.when(c("value").isNotNull(), c("seq"))).alias("value"))
     has = c("value").isNotNull()
-    return points.groupBy("request_id", "source", "w").agg(
+    return met.groupBy("request_id", "source", at.alias("w")).agg(
         F.count("value").alias("n"), F.sum("value").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"),
         F.min(F.when(has, c("time"))).alias("first_time"), F.min_by("value", F.when(has, c("time"))).alias("first_value"),
         F.max(F.when(has, c("time"))).alias("last_time"), F.max_by("value", F.when(has, c("time"))).alias("last_value"),

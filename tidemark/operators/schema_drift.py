@@ -1,8 +1,9 @@
 """Schemas that drift between files: one consistent table, and a list of every change.
 
-Records are read as path-value pairs that keep their raw JSON type, and path-type statistics are kept per file. Files
-are put in order by a distributed sort, so that each is compared with the one before it by an equi-join on position,
-however many files a table has. Renames link the spans in which a name is present into lineages (by pointer doubling);
+Records are read as path-value pairs that keep their raw JSON type, and path-type statistics are kept per file: what each
+path is declared as, joined with the raw types it was seen to hold. Files are put in order by a distributed sort, so that
+the statistics of each are compared with those of the one before it by an equi-join on position, however many files a
+table has. Changes follow the declarations, and are reported with the types seen before and after. Renames link the spans in which a name is present into lineages (by pointer doubling);
 all columns of a lineage become one column, projected to its latest declared type, and every value that cannot be cast
 is reported and left null. A path that its file does not declare takes the nearest declaration of its name in the table.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.ranking import with_position
+from tidemark.plans.ranking import carry_last, with_position
 from tidemark.session import cut_lineage
 
 TABLE = ["db_name", "table_name"]
@@ -27,12 +28,18 @@ SEP = "\u0001"
 SPARK_TYPES = {"F64": "double", "I64": "bigint", "U64": "decimal(20,0)", "String": "string", "Bool": "boolean", "Time": "bigint"}
 
 
-def ordered_files(files: DataFrame, columns: DataFrame, role: str) -> DataFrame:
-    """(db_name, table_name, file_id, position, names, kinds): files with declared columns, in order, with an array of
-    their columns (ordinal, name, kind), where kind joins type and role."""
+def ordered_files(files: DataFrame, columns: DataFrame, role: str, statistics: DataFrame | None = None) -> DataFrame:
+    """(db_name, table_name, file_id, position, columns): files with declared columns, in order, with an array of their
+    columns (ordinal, name, kind, seen), where kind joins type and role, and seen the raw types that ``statistics`` (of
+    :func:`path_statistics`) has for it; null without statistics or values."""
     kind = F.concat_ws(SEP, F.coalesce("column_type", F.lit("")), F.coalesce(F.col(role), F.lit("")))
-    declared = columns.filter(F.col("column_name").isNotNull()).select("file_id", "ordinal", "column_name", kind.alias("kind")).distinct()
-    per_file = declared.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.col("column_name").alias("name"), "kind"))).alias("columns"))
+    declared = columns.filter(F.col("column_name").isNotNull()).select("file_id", "ordinal", F.col("column_name").alias("name"), kind.alias("kind")).distinct()
+    if statistics is None:
+        declared = declared.withColumn("seen", F.lit(None).cast("string"))
+    else:
+        seen = statistics.filter("path IS NOT NULL AND raw_type <> 'VOID'").groupBy("file_id", F.col("path").alias("name")).agg(F.array_join(F.array_sort(F.collect_set("raw_type")), "|").alias("seen"))
+        declared = declared.join(seen, ["file_id", "name"], "left")
+    per_file = declared.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "name", "kind", "seen"))).alias("columns"))
     keyed = files.select(*TABLE, "file_id", "version", "creation_timestamp").distinct().join(per_file, "file_id")
     order = [F.col("version").asc(), F.col("creation_timestamp").asc(), F.col("file_id").asc()]
     return with_position(keyed, TABLE, order).select(*TABLE, "file_id", "position", "columns")
@@ -47,7 +54,8 @@ def _names(columns: Column) -> Column:
 
 
 def schema_changes(ordered: DataFrame) -> DataFrame:
-    """(db_name, table_name, file_id, position, column_name, old_name, change) for every file but a table's first."""
+    """(db_name, table_name, file_id, position, column_name, old_name, change, seen_before, seen) for every file but a
+    table's first."""
     c = F.col
     before = ordered.select(*TABLE, (c("position") + 1).alias("position"), c("columns").alias("old"))
     both = ordered.join(before, [*TABLE, "position"])
@@ -58,7 +66,8 @@ def schema_changes(ordered: DataFrame) -> DataFrame:
     both = both.withColumn("new_columns", F.when(F.size("new") > 0, only(c("columns"), "new")).otherwise(F.slice("columns", 1, 0)))
     both = both.withColumn("gone_columns", F.when(F.size("gone") > 0, only(c("old"), "gone")).otherwise(F.slice("old", 1, 0)))
     same = lambda a, b: (a["ordinal"] == b["ordinal"]) & (a["kind"] == b["kind"])
-    row = lambda name, old, change: F.struct(name.alias("column_name"), old.cast("string").alias("old_name"), F.lit(change).alias("change"))
+    seen = lambda columns, name: F.get(F.filter(columns, lambda x: x["name"] == name), F.lit(0))["seen"]
+    row = lambda name, old, change: F.struct(name.alias("column_name"), old.cast("string").alias("old_name"), F.lit(change).alias("change"), seen("old", old).alias("seen_before"), seen("columns", name).alias("seen"))
     retyped = F.transform(F.array_except(F.transform("fresh", lambda s: F.substring_index(s, SEP, 1)), c("new")), lambda n: row(n, n, "retyped"))
     added = F.transform(
         "new_columns",
@@ -66,7 +75,7 @@ def schema_changes(ordered: DataFrame) -> DataFrame:
     )
     removed = F.transform(F.filter("gone_columns", lambda g: ~F.exists("new_columns", lambda x: same(x, g))), lambda g: row(g["name"], g["name"], "removed"))
     changes = both.select(*TABLE, "file_id", "position", F.explode(F.concat(retyped, added, removed)).alias("x"))
-    return changes.select(*TABLE, "file_id", "position", "x.column_name", "x.old_name", "x.change")
+    return changes.select(*TABLE, "file_id", "position", "x.column_name", "x.old_name", "x.change", "x.seen_before", "x.seen")
 
 
 def path_values(records: DataFrame, every: bool = False) -> DataFrame:
@@ -108,12 +117,13 @@ def lineages(ordered: DataFrame, changes: DataFrame, rounds: int = 64) -> DataFr
     present = ordered.select(*TABLE, "file_id", "position", F.explode("columns").alias("x")).select(*TABLE, "file_id", "position", c("x.name").alias("name"), F.substring_index("x.kind", SEP, 1).alias("kind"))
     starts = changes.filter(c("change").isin("added", "renamed")).select(*TABLE, c("column_name").alias("name"), c("position").alias("start"), F.when(c("change") == "renamed", c("old_name")).alias("old"))
     starts = present.filter(c("position") == 0).select(*TABLE, "name", c("position").alias("start"), F.lit(None).cast("string").alias("old")).unionByName(starts)
-    # The span of a name in a file: the latest start not after it. Starts per name are few; they meet as an array.
-    by_name = starts.groupBy(*TABLE, "name").agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    spanned = present.join(by_name, [*TABLE, "name"]).withColumn("start", F.array_max(F.filter("starts", lambda s: s <= c("position")))).drop("starts")
+    # The span of a name in a file starts at the latest start that is not after it.
+    marked = present.join(starts.select(*TABLE, "name", c("start").alias("position"), c("start").alias("_start")), [*TABLE, "name", "position"], "left")
+    spanned = carry_last(marked, [*TABLE, "name"], ["position"], "_start", "start").drop("_start")
     spans = spanned.groupBy(*TABLE, "name", "start").agg(F.max_by("kind", "position").alias("kind"), F.max("position").alias("end"))
-    links = starts.filter(c("old").isNotNull()).alias("s").join(by_name.select(*TABLE, c("name").alias("old"), "starts"), [*TABLE, "old"])
-    links = links.select(*TABLE, c("old").alias("name"), F.array_max(F.filter("starts", lambda s: s < c("start"))).alias("start"), F.struct(c("name"), c("start")).alias("next"))
+    # A rename compares neighbours, so the span it leads from holds the file before.
+    links = starts.filter(c("old").isNotNull()).select(*TABLE, c("old").alias("name"), (c("start") - 1).alias("position"), F.struct("name", "start").alias("next"))
+    links = links.join(spanned.select(*TABLE, "name", "position", "start"), [*TABLE, "name", "position"]).select(*TABLE, "name", "start", "next")
     node = F.struct("name", "start")
     state = cut_lineage(spans.join(links, [*TABLE, "name", "start"], "left").select(*TABLE, node.alias("node"), F.coalesce("next", node).alias("last"), c("kind"), c("end")))
     for _ in range(rounds):  # doubles the reach each time
@@ -155,12 +165,13 @@ def undeclared(pairs: DataFrame, files: DataFrame, columns: DataFrame) -> DataFr
     held = pairs.filter(c("path").isNotNull()).select("file_id", c("path").alias("name")).distinct()
     placed = _tables(files)
     alone = held.join(columns, ["file_id", "name"], "left_anti").join(placed, "file_id")
-    spans = columns.join(placed, [*TABLE, "file_id"]).groupBy(*TABLE, "name", "start", "column", "target").agg(F.min("place").alias("since"))
-    # Spans per name are few; they meet as an array.
-    by_name = spans.groupBy(*TABLE, "name").agg(F.array_sort(F.collect_list(F.struct("since", "start", "column", "target"))).alias("spans"))
-    near = alone.join(by_name, [*TABLE, "name"])
-    before = F.filter("spans", lambda s: s["since"] < c("place"))
-    near = near.withColumn("near", F.when(F.size(before) > 0, F.element_at(before, -1)).otherwise(c("spans")[0]))
+    spans = columns.join(placed, [*TABLE, "file_id"]).groupBy(*TABLE, "name", "start", "column", "target").agg(F.min("place").alias("place"))
+    span = F.struct(c("place").alias("since"), "start", "column", "target")
+    first = spans.groupBy(*TABLE, "name").agg(F.min(span).alias("first"))
+    spans = spans.select(*TABLE, F.lit(None).cast("bigint").alias("file_id"), "name", "place", span.alias("span"))
+    met = alone.select(*TABLE, "file_id", "name", "place").unionByName(spans, allowMissingColumns=True)
+    near = carry_last(met, [*TABLE, "name"], ["place"], "span", "before").filter(c("file_id").isNotNull()).join(first, [*TABLE, "name"])
+    near = near.withColumn("near", F.coalesce("before", "first"))
     near = near.select("file_id", "name", c("near.column").alias("column"), c("near.target").alias("target"), c("near.since").alias("since"))
     one = near.groupBy("file_id", "column").agg(F.max_by(F.struct("name", "target"), F.struct("since", "name")).alias("x"))
     one = one.join(columns.select("file_id", "column"), ["file_id", "column"], "left_anti")

@@ -39,3 +39,26 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int =
     salted = left.withColumn("_salt", salt)
     copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
+
+
+def carry_last(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the last non-null ``value`` of its group at or before each row in ``order``, as ``name``.
+
+    Like :func:`with_position`, the carry has two levels, so that a hot group is no single task: inside a slice of the
+    range-partitioned rows, and between slices over one row for each group and slice.
+    """
+    c = F.col
+    keys = [c(g) for g in (*group, *order)]
+    # Rows that are alike in group and order meet in one slice; those with a value come first.
+    sliced = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    held = cut_lineage(sliced.withColumn("_slice", F.spark_partition_id()))
+    ends = held.filter(c(value).isNotNull()).groupBy(*group, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    slices = held.select(*group, "_slice").distinct().join(ends, [*group, "_slice"], "left")
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    slices = slices.select(*[c(g).alias(f"_g_{g}") for g in group], c("_slice").alias("_s"), before.alias("_before"))
+    same = c("_slice") == c("_s")
+    for g in group:
+        same = same & c(g).eqNullSafe(c(f"_g_{g}"))
+    inside = Window.partitionBy("_slice", *group).orderBy(*order, c(value).isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    carried = F.coalesce(F.last(value, ignorenulls=True).over(inside), c("_before"))
+    return held.join(slices, same).select(*df.columns, carried.alias(name))

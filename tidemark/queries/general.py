@@ -151,7 +151,8 @@ def p3_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ordered(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.ordered_files(table(spark, d, "parquet_files"), table(spark, d, "file_columns"), ROLE)
+    statistics = schema_drift.path_statistics(schema_drift.path_values(table(spark, d, "file_records")))
+    return schema_drift.ordered_files(table(spark, d, "parquet_files"), table(spark, d, "file_columns"), ROLE, statistics)
 
 
 _P4 = f"""
@@ -205,6 +206,17 @@ def p4_consistent(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.consistent_rows(table(spark, d, "file_records"), table(spark, d, "parquet_files"), columns)
 
 
+@query()
+def p4_wide(spark: SparkSession, d: str) -> DataFrame:
+    """The first database table by name as typed columns, with the values that could not be cast."""
+    ordered = _ordered(spark, d)
+    columns = cut_lineage(schema_drift.lineages(ordered, schema_drift.schema_changes(ordered)))
+    files = table(spark, d, "parquet_files")
+    rows = schema_drift.consistent_rows(table(spark, d, "file_records"), files, columns)
+    first = files.select("db_name", "table_name").orderBy("db_name", "table_name").first()
+    return schema_drift.wide_table(rows, columns, *(first or ("", "")))
+
+
 # 5. Far too many small files
 
 _P5 = """
