@@ -3,13 +3,17 @@
 Files are assigned to a fixed number of output groups per partition by balanced longest-first scheduling: sorted by
 size, each goes to the least loaded group, kept in a heap. Groups are then streamed through pyarrow, one file at a
 time and batch by batch, into new files; what was written is verified against what was to be read, by rows and by an
-order-free checksum, and only then published as a manifest, whose appearance under its final name is atomic.
+order-free checksum, and only then published: the manifest is written under a name of its own, and one small pointer file,
+which is replaced as a whole, names the current one. A folder can be written to again and again; readers see the manifest
+before or after. The manifest lists each file's sources, so that readers know what it stands for, and groups without any
+record have a line without a file. What no manifest names (files of lost or failed attempts, and of manifests that were
+replaced) is removed by :func:`clean`. One writer at a time is assumed.
 
 A partition may hold a third of all files: its sorted list is dealt round-robin into sublists of at most ``SUBLIST``
 files, which are scheduled apart; as sizes are dealt evenly, sublists are as balanced as one list would be.
 
 Defined cases: repeated rows count once; null sizes are 0 bytes; files without records give no rows but are merged
-away like others; unfinished compactions and unknown chunk ids change nothing; an empty table gives an empty plan.
+away like others, and are listed as sources; unfinished compactions and unknown chunk ids change nothing; an empty table gives an empty plan.
 """
 
 from __future__ import annotations
@@ -24,10 +28,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.ranking import spread_join, with_position
+from tidemark.session import cut_lineage
 
 PARTITION = ["db_name", "table_name", "partition_key"]
 #: Files below this size are small.
@@ -176,12 +181,65 @@ def expected_marks(plan: DataFrame, records: DataFrame) -> DataFrame:
     return summed.select(*PARTITION, "group_id", "want_rows", F.pmod("m", F.lit(1 << 62).cast("decimal(38,0)")).cast("bigint").alias("want_mark"))
 
 
-def publish(manifest: DataFrame, plan: DataFrame, records: DataFrame, out_dir: str) -> str:
-    """Check the written files against their sources, read back their footers, and publish the manifest.
+POINTER = "_current.json"
 
-    ``manifest`` must be materialised (it is the result of writing). The manifest is written aside by Spark and appears
-    under ``out_dir/manifest`` by one rename; a reader sees the old state or the new one.
-    """
+
+def _put(root: str, name: str, text: str) -> None:
+    """A small file that appears, or is replaced, as a whole: by a rename in file systems, by the upload in object stores."""
+    fs, path = _filesystem(f"{root}/{name}")
+    in_place = fs.type_name in ("local", "hdfs")
+    target = f"{path}.{uuid.uuid4().hex}" if in_place else path
+    with fs.open_output_stream(target) as out:
+        out.write(text.encode())
+    if in_place:
+        fs.move(target, path)
+
+
+def _pointer(root: str) -> dict | None:
+    fs, path = _filesystem(f"{root}/{POINTER}")
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return None
+    with fs.open_input_stream(path) as held:
+        return json.loads(held.read())
+
+
+def _publish(manifest: DataFrame, out_dir: str) -> str:
+    """Write the manifest under a new name and point to it. ``manifest`` must be materialised."""
+    before = _pointer(out_dir)
+    version = before["version"] + 1 if before else 1
+    name = f"manifest-{version:08d}-{uuid.uuid4().hex}"
+    manifest.write.parquet(f"{out_dir}/{name}")
+    _put(out_dir, POINTER, json.dumps({"version": version, "manifest": name}))
+    return f"{out_dir}/{name}"
+
+
+def current(spark: SparkSession, out_dir: str) -> DataFrame | None:
+    """The current manifest of a folder; None if nothing was published there."""
+    held = _pointer(out_dir)
+    return spark.read.parquet(f"{out_dir}/{held['manifest']}") if held else None
+
+
+def clean(spark: SparkSession, out_dir: str) -> int:
+    """Remove the files and manifests that the current manifest does not name; the number removed. Readers of an older
+    manifest, and writers, must have ended."""
+    held = _pointer(out_dir)
+    if held is None:
+        return 0
+    fs, root = _filesystem(out_dir)
+    found = [f for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.startswith(("part-", "manifest-", ".manifest-"))]
+    # Names are few for each large file; they are compared in Spark all the same, as old files may be many.
+    listed = spark.createDataFrame([(f.base_name, f.path, f.type == pafs.FileType.Directory) for f in found], "name string, path string, folder boolean")
+    kept = spark.read.parquet(f"{out_dir}/{held['manifest']}").filter("path IS NOT NULL").select(F.regexp_extract("path", "[^/]*$", 0).alias("name"))
+    removed = 0
+    for row in listed.filter(F.col("name") != held["manifest"]).join(kept, "name", "left_anti").toLocalIterator():
+        fs.delete_dir(row["path"]) if row["folder"] else fs.delete_file(row["path"])
+        removed += 1
+    return removed
+
+
+def publish(manifest: DataFrame, plan: DataFrame, records: DataFrame, out_dir: str) -> str:
+    """Check the written files against their sources, read back their footers, and publish the manifest, with the sources
+    of each group. ``manifest`` must be materialised (it is the result of writing)."""
     want = expected_marks(plan, records)
     both = manifest.join(want, [*PARTITION, "group_id"], "full")
     wrong = both.filter(~(F.col("n_rows").eqNullSafe(F.col("want_rows")) & F.col("mark").eqNullSafe(F.col("want_mark"))))
@@ -189,12 +247,10 @@ def publish(manifest: DataFrame, plan: DataFrame, records: DataFrame, out_dir: s
     first = wrong.select("group_id").limit(1).collect() or short.select("path").limit(1).collect()
     if first:
         raise Unverified(f"group or file {first[0][0]} does not hold its records; nothing was published")
-    aside = f"{out_dir}/.manifest-{uuid.uuid4().hex}"
-    manifest.write.parquet(aside)
-    fs, a = _filesystem(aside)
-    _, b = _filesystem(f"{out_dir}/manifest")
-    fs.move(a, b)
-    return f"{out_dir}/manifest"
+    # A group has no more files than a sublist.
+    sources = plan.groupBy(*PARTITION, "group_id").agg(F.array_sort(F.collect_list("file_id")).alias("sources"))
+    listed = sources.join(manifest, [*PARTITION, "group_id"], "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    return _publish(listed, out_dir)
 
 
 def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +263,14 @@ def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "bad": pa.array(bad, pa.bool_())})
 
 
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, file_bytes) of the Parquet files under a folder; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+    return found.select("path", F.col("length").alias("file_bytes"))
+
+
 def compact_parquet(files: DataFrame, out_dir: str, target: int = TARGET, small: int = SMALL) -> str:
-    """Consolidate real Parquet files: ``files`` has path and file_bytes. Returns the manifest's path.
+    """Consolidate real Parquet files: ``files`` has path and file_bytes. Returns the manifest's path (see :func:`current`).
 
     Files of one directory form a partition and must share a schema. Each group is streamed through pyarrow by one
     task, which holds one row group at a time; paths travel, not rows, so nothing is shuffled but the list of files.
@@ -236,18 +298,13 @@ def compact_parquet(files: DataFrame, out_dir: str, target: int = TARGET, small:
                     writer.write_batch(batch)
                     n += batch.num_rows
         writer.close()
-        return pd.DataFrame({"path": [final], "n_rows": [n], "want_rows": [want], "sources": [json.dumps(paths)]})
+        return pd.DataFrame({"path": [final], "n_rows": [n], "want_rows": [want], "sources": [json.dumps(paths)], "partition_key": pdf["partition_key"][:1].tolist()})
 
-    merged = plan.groupBy("partition_key", "group_id").applyInPandas(merge, "path string, n_rows bigint, want_rows bigint, sources string")
-    aside = f"{out_dir}/.manifest-{uuid.uuid4().hex}"
-    kept = listed.join(plan.select("file_id"), "file_id", "left_anti").select(c("file_id").alias("path"), F.lit(None).cast("bigint").alias("n_rows"), F.lit(None).cast("bigint").alias("want_rows"), F.lit(None).cast("string").alias("sources"))
-    merged.unionByName(kept).write.parquet(aside)
-    written = spark.read.parquet(aside)
+    merged = plan.groupBy("partition_key", "group_id").applyInPandas(merge, "path string, n_rows bigint, want_rows bigint, sources string, partition_key string")
+    kept = listed.join(plan.select("file_id"), "file_id", "left_anti").select(c("file_id").alias("path"), F.lit(None).cast("bigint").alias("n_rows"), F.lit(None).cast("bigint").alias("want_rows"), F.lit(None).cast("string").alias("sources"), "partition_key")
+    written = cut_lineage(merged.unionByName(kept))
     if bad := written.filter("n_rows <> want_rows").limit(1).collect():
         raise Unverified(f"{bad[0]['path']} does not hold its records; nothing was published")
     if bad := written.filter("sources is not null").mapInArrow(_footers, "path string, bad boolean").filter("bad").limit(1).collect():
         raise Unverified(f"{bad[0]['path']} cannot be read back whole; nothing was published")
-    fs, a = _filesystem(aside)
-    _, b = _filesystem(f"{out_dir}/manifest")
-    fs.move(a, b)
-    return f"{out_dir}/manifest"
+    return _publish(written.drop("want_rows"), out_dir)

@@ -239,7 +239,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_P5 + """
 SELECT db_name, table_name, partition_key, CAST(count(DISTINCT small.file_id) AS BIGINT) AS merged_files, count(r.row_no) AS n_rows
-FROM small LEFT JOIN file_records r ON r.file_id = small.file_id WHERE n > 1 GROUP BY ALL HAVING count(r.row_no) > 0
+FROM small LEFT JOIN file_records r ON r.file_id = small.file_id WHERE n > 1 GROUP BY ALL
 """)
 def p5_merged(spark: SparkSession, d: str) -> DataFrame:
     """Merge the small files for real into the shared folder, publish the manifest, and report it by partition."""
@@ -247,5 +247,16 @@ def p5_merged(spark: SparkSession, d: str) -> DataFrame:
     plan, records, out = cut_lineage(small_files.merge_plan(live)), table(spark, d, "file_records"), scratch_path(spark, "merged")
     manifest = cut_lineage(small_files.merge_records(plan, records, out))
     manifest = spark.read.parquet(small_files.publish(manifest, plan, records, out))
-    rows = manifest.groupBy(*small_files.PARTITION).agg(F.sum("n_rows").alias("n_rows"))
-    return plan.groupBy(*small_files.PARTITION).agg(F.count(F.lit(1)).alias("merged_files")).join(rows, small_files.PARTITION)
+    return manifest.groupBy(*small_files.PARTITION).agg(F.sum(F.size("sources")).cast("bigint").alias("merged_files"), F.sum("n_rows").alias("n_rows"))
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def compact_files(spark: SparkSession, d: str) -> DataFrame:
+    """Events written as many small Parquet files, compacted twice into the same folder, and read back."""
+    source, out = scratch_path(spark, "small"), scratch_path(spark, "compacted")
+    table(spark, d, "events").repartition(24).write.parquet(source)
+    for _ in range(2):
+        small_files.compact_parquet(small_files.list_files(spark, source), out)
+    small_files.clean(spark, out)
+    paths = [r["path"] for r in small_files.current(spark, out).select("path").toLocalIterator()]
+    return spark.read.parquet(*paths).select("event_id", "ts", "user_id", "event_type", "value", "props")
