@@ -1 +1 @@
-"""."""
+"""Streams of line protocol into databases."""
