@@ -68,8 +68,12 @@ def partition_key(parts: list, table: str, columns: list[str], time: Column) ->
 
 
 def shard(table: Column, keys: list[Column], patterns: list[tuple[str, int]], shards: int | None) -> Column:
-    """The first pattern that matches the table's name gives the shard, else a hash of table and keys; else an error."""
-    fallback = F.pmod(F.xxhash64(table, *keys), F.lit(shards)).cast("int") if shards else F.raise_error(F.lit("no shard for this table")).cast("int")
+    """The first pattern that matches the table's name gives the shard, else a hash of table and keys; else an error.
+
+    The hash is the first 60 bits of an MD5 over the texts, so that writers outside Spark find the same shard. A null key
+    counts as absent."""
+    joined = F.concat_ws("\u0001", table, *[k.cast("string") for k in keys])
+    fallback = F.pmod(F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("bigint"), F.lit(shards)).cast("int") if shards else F.raise_error(F.lit("no shard for this table")).cast("int")
     chosen = fallback
     for pattern, number in reversed(patterns):
         chosen = F.when(table.rlike(pattern), F.lit(number)).otherwise(chosen)

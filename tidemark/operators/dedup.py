@@ -60,6 +60,18 @@ def overlap_groups(bounds: list[dict[str, tuple | None]]) -> list[list[int]]:
     return sorted(groups.values())
 
 
+def key_bounds(chunks: list[TsTable]) -> list[dict[str, tuple | None]]:
+    """The bounds of each chunk's key columns, one small aggregate for each chunk. A tag with nulls has no bounds, as its
+    nulls may meet those of any other chunk. Stored chunks know their bounds from their statistics."""
+    found = []
+    for chunk in chunks:
+        keys = chunk.schema.primary_key
+        c = lambda k: F.col(f"`{k}`")
+        row = chunk.df.agg(F.count(F.lit(1)), *[x for k in keys for x in (F.count(c(k)), F.min(c(k)), F.max(c(k)))]).first()
+        found.append({k: (row[3 * i + 2], row[3 * i + 3]) if row[0] and row[3 * i + 1] == row[0] else None for i, k in enumerate(keys)})
+    return found
+
+
 def _may_overlap(a: dict[str, tuple | None], b: dict[str, tuple | None]) -> bool:
     for column in a.keys() & b.keys():
         x, y = a[column], b[column]

@@ -114,6 +114,29 @@ def read_group(table: TsTable, predicate: Predicate, kind: str | None, group: li
     return rows.groupBy(*map(_field, tags)).agg(*outputs).orderBy(*map(_field, tags))
 
 
+def read_columns(table: TsTable, columns: list[str], predicate: Predicate) -> DataFrame | None:
+    """Chosen columns of the matching rows, unordered; filters and columns reach the scan."""
+    rows = predicate.apply(table)
+    return None if rows is None else rows.select(*map(_field, columns))
+
+
+def satisfies(table: TsTable, predicate: Predicate) -> DataFrame:
+    """``found``: whether any row matches; the scan stops at the first. A table that lacks a column has no match."""
+    rows = predicate.apply(table)
+    one = table.df.limit(0) if rows is None else rows
+    return one.select(F.lit(1).alias("x")).limit(1).agg((F.count("x") > 0).alias("found"))
+
+
+def group_columns(table: TsTable, group: list[str], wanted: list[tuple[str, str]], predicate: Predicate = Predicate()) -> DataFrame | None:
+    """Aggregates by any tags, unordered: ``<column>_<kind>`` for each wanted (column, kind). Only tags can be grouped by."""
+    reorder_prefix(group, table.schema.tags)
+    rows = predicate.apply(table)
+    if rows is None:
+        return None
+    one = lambda column, kind: selector(kind, _field(column), F.col(TIME))[0] if kind in ("first", "last") else aggregate(kind, _field(column), table.schema.columns[column] == "unsigned")
+    return rows.groupBy(*map(_field, group)).agg(*[one(c, k).alias(f"{c}_{k}") for c, k in wanted])
+
+
 def read_window_aggregate(table: TsTable, predicate: Predicate, kind: str, every: Span | int, offset: Span | int = 0) -> DataFrame | None:
     """One row per tag set and window that has rows; ``time`` is the window's stop."""
     if kind not in WINDOWED:

@@ -70,6 +70,14 @@ def database(spark: SparkSession, d: str) -> R.Database:
     return R.Database(spark, {"events": events(spark, d), "orders": TsTable.of(orders, ["priority", "status"], "orders")})
 
 
+def readings(spark: SparkSession, d: str, every: bool = False) -> TsTable:
+    """The readings of the first measurement by name (or of all) as one series table, with a tag that is always null."""
+    df = table(spark, d, "readings")
+    if not every:
+        df = df.filter(F.col("table_name") == df.select(F.min("table_name")).first()[0])
+    return TsTable.of(df.select("host", "region", "value", "time", F.lit(None).cast("string").alias("never"), F.col("seq").alias("_seq")), ["host", "region", "never"], "r")
+
+
 ORDERS = "o AS (SELECT o_orderstatus AS status, o_orderpriority AS priority, o_totalprice AS price, epoch_us(o_orderdate) * 1000 AS time FROM orders) "
 MARK = "(SELECT min(time) + (max(time) - min(time)) // 2 FROM e)"
 
@@ -95,7 +103,8 @@ def scan_parquet(spark: SparkSession, d: str) -> DataFrame:
 
 @query(E + "SELECT user_id, value FROM e WHERE event_type = 'click' AND value > 50")
 def read_filter_cols(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).df.filter("event_type = 'click' AND value > 50").select("user_id", "value")
+    p = Predicate().where(Compare("=", Ref("event_type"), Literal("click")), Compare(">", Ref("value"), Literal(50)))
+    return R.read_columns(events(spark, d), ["user_id", "value"], p)
 
 
 @query("SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, value, epoch_us(ts) * 1000 AS time FROM events")
@@ -138,7 +147,7 @@ def pred_compare(spark: SparkSession, d: str) -> DataFrame:
     return R.read_filter(events(spark, d), Predicate().where(either, Compare("!=", Ref("event_type"), Literal("view"))))
 
 
-@query("SELECT 'orders' AS measurement")
+@query("SELECT 'orders' AS measurement WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'O' OR o_totalprice > 0)")
 def pred_missing_col(spark: SparkSession, d: str) -> DataFrame:
     """A table without a column of the predicate is skipped, even under OR."""
     either = Logical("or", (Compare("=", Ref("status"), Literal("O")), Compare(">", Ref("price"), Literal(0.0))))
@@ -155,7 +164,7 @@ def regex_not_match(spark: SparkSession, d: str) -> DataFrame:
     return R.read_filter(events(spark, d), Predicate().where(Compare("!~", Ref("user_id"), Literal("^1[0-9]$"))))
 
 
-@query("SELECT 'events' AS tag_value UNION ALL SELECT 'orders'")
+@query("SELECT 'events' AS tag_value WHERE EXISTS (SELECT 1 FROM events) UNION ALL SELECT 'orders' WHERE EXISTS (SELECT 1 FROM orders)")
 def rpc_in_list(spark: SparkSession, d: str) -> DataFrame:
     """An OR of equalities on the measurement becomes a set of tables."""
     leaf = lambda name: {"type": "compare", "op": "equal", "children": [{"type": "tag", "name": "\x00"}, {"type": "literal", "value": name}]}
@@ -165,8 +174,7 @@ def rpc_in_list(spark: SparkSession, d: str) -> DataFrame:
 
 @query(E + "SELECT count(*) > 0 AS found FROM (SELECT 1 FROM e WHERE value > 99 LIMIT 1)")
 def exists_pred(spark: SparkSession, d: str) -> DataFrame:
-    hit = events(spark, d).df.filter("value > 99").limit(1)
-    return hit.agg((F.count(F.lit(1)) > 0).alias("found"))
+    return R.satisfies(events(spark, d), Predicate().where(Compare(">", Ref("value"), Literal(99))))
 
 
 # Upserts
@@ -190,9 +198,43 @@ def measurement_names(spark: SparkSession, d: str) -> DataFrame:
     return database(spark, d).measurement_names()
 
 
-@query("SELECT unnest(['event_type', 'priority', 'status', 'user_id']) AS tag_key")
+@query("""SELECT tag_key FROM (
+  SELECT 'host' AS tag_key, count(host) AS n FROM r UNION ALL SELECT 'region', count(region) FROM r UNION ALL SELECT 'never', 0
+) WHERE n > 0""".replace("FROM r", "FROM (SELECT * FROM readings WHERE table_name = (SELECT min(table_name) FROM readings) AND value > 0)"))
 def tag_keys(spark: SparkSession, d: str) -> DataFrame:
-    return database(spark, d).tag_keys()
+    """Tags with a value among the rows that match; one tag of the table never has one."""
+    t = readings(spark, d)
+    return R.Database(spark, {"r": t}).tag_keys(Predicate().where(Compare(">", Ref("value"), Literal(0))))
+
+
+@query("""SELECT '_field' AS tag_key UNION ALL SELECT '_measurement' UNION ALL
+  SELECT tag_key FROM (SELECT 'host' AS tag_key, count(host) AS n FROM readings UNION ALL SELECT 'region', count(region) FROM readings) WHERE n > 0""")
+def tag_keys_request(spark: SparkSession, d: str) -> DataFrame:
+    """The request for tag keys also lists the pseudo tags of the measurement and the field."""
+    keys = R.Database(spark, {"r": readings(spark, d, every=True)}).tag_keys(pseudo=True)
+    names = F.when(F.col("tag_key") == P.MEASUREMENT_REF[1], P.MEASUREMENT_REF[0]).when(F.col("tag_key") == P.FIELD_REF[1], P.FIELD_REF[0]).otherwise(F.col("tag_key"))
+    return keys.select(names.alias("tag_key"))
+
+
+@query("SELECT DISTINCT o_orderstatus AS tag_value FROM orders WHERE o_totalprice > 100000")
+def measurement_tag_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of a tag in one measurement."""
+    return database(spark, d).tag_values("status", Predicate().table("orders").where(Compare(">", Ref("price"), Literal(100000.0))))
+
+
+@query("SELECT 'priority' AS tag_key WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderpriority IS NOT NULL) UNION ALL SELECT 'status' WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderstatus IS NOT NULL)")
+def measurement_tag_keys(spark: SparkSession, d: str) -> DataFrame:
+    return database(spark, d).tag_keys(Predicate().table("orders"))
+
+
+@query("SELECT 'price' AS name, 'float' AS type, epoch_us(max(o_orderdate)) * 1000 AS last_timestamp FROM orders WHERE o_totalprice IS NOT NULL AND o_orderstatus = 'F'")
+def measurement_fields(spark: SparkSession, d: str) -> DataFrame:
+    return database(spark, d).field_columns(Predicate().table("orders").where(Compare("=", Ref("status"), Literal("F"))))
+
+
+@query("SELECT unnest(['Group', 'Group', 'Group', 'Group', 'WindowAggregate', 'WindowAggregate', 'WindowAggregate', 'WindowAggregate', 'WindowAggregate']) AS feature, unnest(['First', 'Last', 'Min', 'Max', 'Count', 'Sum', 'Min', 'Max', 'Mean']) AS aggregate")
+def capabilities(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(f, a) for f, names in R.Database.capabilities().items() for a in names], "feature string, aggregate string")
 
 
 @query(E + "SELECT DISTINCT user_id AS tag_value FROM e WHERE value > 90")
@@ -200,7 +242,7 @@ def tag_values(spark: SparkSession, d: str) -> DataFrame:
     return database(spark, d).tag_values("user_id", Predicate().where(Compare(">", Ref("value"), Literal(90))))
 
 
-@query("SELECT unnest(['price', 'value']) AS tag_value")
+@query("SELECT 'price' AS tag_value WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice IS NOT NULL) UNION ALL SELECT 'value' WHERE EXISTS (SELECT 1 FROM events WHERE value IS NOT NULL)")
 def tag_values_field(spark: SparkSession, d: str) -> DataFrame:
     return database(spark, d).tag_values("_field")
 
@@ -245,7 +287,6 @@ query(E + "SELECT user_id, event_type, value, time FROM e", "read_group_none")(_
 def _window(kind: str, every: windows.Span, offset: windows.Span) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         t = events(spark, d)
-        t = TsTable.of(t.df.drop("user_id"), ["event_type"], "events")
         df = R.read_window_aggregate(t, Predicate(), kind, every, offset)
         return df.withColumn("value", F.round("value", {"sum": 4, "mean": 8}[kind])) if kind in ("sum", "mean") else df
 
@@ -255,11 +296,11 @@ def _window(kind: str, every: windows.Span, offset: windows.Span) -> Query:
 _OFFSET = 600_000_000_000
 for _kind, _agg in (("mean", "round(avg(value), 8)"), ("sum", "round(sum(value), 4)"), ("count", "count(value)"), ("min", "min(value)"), ("max", "max(value)")):
     query(
-        E + f"SELECT event_type, time - (((time - {_OFFSET}) % {HOUR}) + {HOUR}) % {HOUR} + {HOUR} AS time, {_agg} AS value FROM e GROUP BY ALL",
+        E + f"SELECT event_type, user_id, time - (((time - {_OFFSET}) % {HOUR}) + {HOUR}) % {HOUR} + {HOUR} AS time, {_agg} AS value FROM e GROUP BY ALL",
         f"window_agg_{_kind}",
     )(_window(_kind, windows.Span(ns=HOUR), windows.Span(ns=_OFFSET)))
 query(
-    E + "SELECT event_type, epoch_us(date_trunc('month', make_timestamp(time // 1000)) + INTERVAL 1 MONTH) * 1000 AS time, round(avg(value), 8) AS value FROM e GROUP BY ALL",
+    E + "SELECT event_type, user_id, epoch_us(date_trunc('month', make_timestamp(time // 1000)) + INTERVAL 1 MONTH) * 1000 AS time, round(avg(value), 8) AS value FROM e GROUP BY ALL",
     "window_agg_months",
 )(_window("mean", windows.Span(months=1), windows.Span()))
 
@@ -295,16 +336,17 @@ def agg_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query(E + "SELECT event_type, user_id, count(value) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high, arg_min(value, time) AS first, arg_max(value, time) AS last FROM e GROUP BY ALL")
 def rb_group_agg(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("value")
-    return events(spark, d).df.groupBy("event_type", "user_id").agg(
-        F.count(v).alias("n"), F.round(F.sum(v), 4).alias("total"), F.min(v).alias("low"), F.max(v).alias("high"), F.min_by(v, "time").alias("first"), F.max_by(v, "time").alias("last")
-    )
+    wanted = [("value", kind) for kind in ("count", "sum", "min", "max", "first", "last")]
+    df = R.group_columns(events(spark, d), ["event_type", "user_id"], wanted)
+    names = {"value_count": "n", "value_sum": "total", "value_min": "low", "value_max": "high", "value_first": "first", "value_last": "last"}
+    return df.withColumnsRenamed(names).withColumn("total", F.round("total", 4))
 
 
 # Pivot, split, sets
 
 
-@query("SELECT unnest(['event_type', 'time', 'user_id', 'value']) AS non_null_column")
+@query("""SELECT name AS non_null_column FROM (SELECT 'event_type' AS name, count(event_type) AS n FROM events UNION ALL SELECT 'time', count(ts) FROM events
+  UNION ALL SELECT 'user_id', count(user_id) FROM events UNION ALL SELECT 'value', count(value) FROM events) WHERE n > 0""")
 def schema_pivot(spark: SparkSession, d: str) -> DataFrame:
     shown = events(spark, d).shown().withColumn("never", F.lit(None).cast("string"))
     return pivot.schema_pivot(shown)
@@ -342,7 +384,8 @@ def topk(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
 
 
-@query("SELECT * FROM (VALUES (0, 'event_type'), (1, 'user_id'), (2, 'time')) AS t(position, column_name)")
+@query("""SELECT CAST(row_number() OVER (ORDER BY n, name) - 1 AS INTEGER) AS position, name AS column_name FROM (
+  SELECT 'event_type' AS name, count(DISTINCT event_type) AS n FROM events UNION ALL SELECT 'user_id', count(DISTINCT user_id) FROM events UNION ALL SELECT 'time', 9223372036854775807)""")
 def sort_key_columns(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(sort_key(events(spark, d)))), "position int, column_name string")
 
@@ -353,23 +396,38 @@ QUERIES["sort_key"], SQL["sort_key"] = QUERIES.pop("sort_key_columns"), SQL.pop(
 # Series
 
 
-@query(E + "SELECT event_type, user_id, count(*) AS points, min(time) AS first_time, max(time) AS last_time FROM e GROUP BY ALL")
+@query(E + """SELECT event_type, user_id, value, time, '{"event_type":"' || event_type || '","user_id":"' || user_id || '"}' AS series,
+  row_number() OVER w - 1 AS series_row, row_number() OVER w = 1 AS series_start FROM e WINDOW w AS (PARTITION BY event_type, user_id ORDER BY time)""")
 def series_split(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with its series and its place in it."""
     t = events(spark, d)
-    return S.series_split(t.df, t)
+    return S.series_split(t.df, t).drop("_seq")
 
 
-@query(E + "SELECT event_type, count(DISTINCT user_id) AS series FROM e GROUP BY ALL")
+@query(E + "SELECT event_type AS partition_key_vals, count(DISTINCT user_id) AS series FROM e GROUP BY event_type")
 def group_start(spark: SparkSession, d: str) -> DataFrame:
     t = events(spark, d)
-    return S.group_starts(t.df, ["event_type"], t.schema.tags)
+    return S.group_starts(t.df, t, ["event_type"]).withColumn("partition_key_vals", F.array_join("partition_key_vals", "|"))
 
 
-@query(E + """SELECT 'events' AS measurement, 'value' AS field, 'float' AS type, '{"event_type":"' || event_type || '","user_id":"' || user_id || '"}' AS tags,
-  count(*) AS points, min(time) AS first_time, max(time) AS last_time FROM e WHERE value IS NOT NULL GROUP BY ALL""")
+@query(E + """SELECT user_id AS partition_key_vals, 'user_id|event_type' AS tag_keys, '{"user_id":"' || user_id || '","event_type":"' || event_type || '"}' AS tags,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_type) = 1 AS group_start FROM (SELECT DISTINCT event_type, user_id FROM e)""")
+def group_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Series in groups of one user, the first of each group marked."""
+    t = events(spark, d)
+    return S.group_frames(t.df, t, ["user_id"]).withColumns({c: F.array_join(c, "|") for c in ("partition_key_vals", "tag_keys")})
+
+
+@query(E + """, p AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY time) - 1 AS k FROM e WHERE value IS NOT NULL)
+SELECT 'events' AS measurement, 'value' AS field, 'float' AS type, '{"event_type":"' || event_type || '","user_id":"' || user_id || '"}' AS tags,
+  k // 10 AS frame_no, k % 10 AS place, time, value FROM p""")
 def series_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The points of all frames, with the frame and their place in it."""
     t = events(spark, d)
-    return S.series_frames(t.df, t, "events")
+    frames = S.series_frames(t.df, t, "events", frame=10)
+    points = frames.select("measurement", "field", "type", "tags", "frame_no", F.posexplode(F.arrays_zip("times", "float")).alias("place", "p"))
+    return points.select("measurement", "field", "type", "tags", "frame_no", F.col("place").cast("bigint").alias("place"), F.col("p.times").alias("time"), F.col("p.float").alias("value"))
+
 
 
 # Reorganisation
@@ -391,15 +449,21 @@ def split_plan(spark: SparkSession, d: str) -> DataFrame:
     return persisted.select("event_type", "time", "value")
 
 
+@query(BY_TYPE + ", e AS (SELECT epoch_us(ts) * 1000 AS time FROM events) " + f"SELECT event_type, time, arg_max(value, seq) FILTER (WHERE value IS NOT NULL) AS value FROM b WHERE time > {MARK} GROUP BY ALL")
+def split_plan_rest(spark: SparkSession, d: str) -> DataFrame:
+    _, rest = reorg.split_plan(_two_chunks(by_type(spark, d)), middle(events(spark, d)))
+    return rest.select("event_type", "time", "value")
+
+
 @query(BY_TYPE + "SELECT event_type, time, arg_max(value, seq) FILTER (WHERE value IS NOT NULL) AS value FROM b GROUP BY ALL")
 def overlap_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Three chunks of which two overlap: only these are deduplicated together."""
+    """Three chunks of which two overlap by their own bounds: only these are deduplicated together; the third is known to
+    be free of duplicates and read plainly."""
     t = by_type(spark, d)
     half = middle(t)
-    early = TsTable(t.df.filter(F.col("time") < half), t.schema)
-    late = _two_chunks(TsTable(t.df.filter(F.col("time") >= half), t.schema))
-    bounds = [{"time": (0, half - 1)}, {"time": (half, 1 << 62)}, {"time": (half, 1 << 62)}]
-    return dedup.scan([early, *late], bounds).df.select("event_type", "time", "value")
+    early = dedup.dedup_last_non_null(TsTable(t.df.filter(F.col("time") < half), t.schema))
+    chunks = [early, *_two_chunks(TsTable(t.df.filter(F.col("time") >= half), t.schema))]
+    return dedup.scan(chunks, dedup.key_bounds(chunks), [True, False, False]).df.select("event_type", "time", "value")
 
 
 # Partitioning
@@ -412,7 +476,8 @@ def partition_key(spark: SparkSession, d: str) -> DataFrame:
     return t.df.select(F.col("_seq").alias("event_id"), partitioning.partition_key(parts, "events", t.df.columns, F.col("time")).alias("partition_key"))
 
 
-@query()
+@query(E + """SELECT event_type, user_id, CASE WHEN regexp_matches(event_type, '^purch') THEN 0
+  ELSE CAST(CAST('0x' || substr(md5(event_type || chr(1) || user_id), 1, 15) AS BIGINT) % 8 AS INTEGER) END AS shard FROM e""")
 def shard_assign(spark: SparkSession, d: str) -> DataFrame:
     t = events(spark, d).df
     number = partitioning.shard(F.col("event_type"), [F.col("user_id")], [("^purch", 0)], 8)
@@ -422,26 +487,31 @@ def shard_assign(spark: SparkSession, d: str) -> DataFrame:
 # System tables
 
 
-@query("""SELECT partition_key, CAST(id AS BIGINT) AS id, table_name, storage, lifecycle_action, estimated_bytes, row_count FROM (SELECT DISTINCT * FROM chunks) WHERE storage = 'ReadBuffer'""")
+@query("SELECT DISTINCT id, partition_key, table_name, storage, lifecycle_action, estimated_bytes, row_count, time_of_first_write, time_of_last_write, time_closed FROM chunks")
 def sys_chunks(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "chunks").distinct().filter("storage = 'ReadBuffer'")
-    return chunks.select("partition_key", "id", "table_name", "storage", "lifecycle_action", "estimated_bytes", "row_count")
+    """Rows of the chunk table in the shape of the system table."""
+    return table(spark, d, "chunks").select(*[n.split()[0] for n in system_tables.CHUNKS.split(", ")]).distinct()
 
 
-@query(E + """SELECT event_type AS partition_key, CAST(0 AS BIGINT) AS chunk_id, 'events' AS table_name, column_name, 'ObjectStore' AS storage, row_count, min_value, max_value FROM (
+@query(E + """SELECT event_type AS partition_key, CAST(0 AS BIGINT) AS chunk_id, 'events' AS table_name, column_name, 'ObjectStoreOnly' AS storage, row_count, min_value, max_value FROM (
   SELECT event_type, 'event_type' AS column_name, count(event_type) AS row_count, min(event_type) AS min_value, max(event_type) AS max_value FROM e GROUP BY 1
   UNION ALL SELECT event_type, 'user_id', count(user_id), min(user_id), max(user_id) FROM e GROUP BY 1
+  UNION ALL SELECT event_type, 'value', count(value), printf('%.4f', min(value)), printf('%.4f', max(value)) FROM e GROUP BY 1
   UNION ALL SELECT event_type, 'time', count(time), CAST(min(time) AS VARCHAR), CAST(max(time) AS VARCHAR) FROM e GROUP BY 1)""")
 def sys_chunk_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics by chunk; numbers with a fraction are shown with four places, as texts of doubles differ by system."""
     t = events(spark, d)
     chunks = t.df.withColumn("partition_key", F.col("event_type")).withColumn("chunk_id", F.lit(0).cast("bigint"))
-    stats = system_tables.chunk_columns(chunks, TsTable.of(t.df.drop("value"), ["event_type", "user_id"], "events"), "events", "ObjectStore")
-    return stats.drop("estimated_bytes")
+    stats = system_tables.chunk_columns(chunks, t, "events", "ObjectStoreOnly")
+    text = lambda c: F.when(F.col("column_name") == "value", F.format_string("%.4f", F.col(c).try_cast("double"))).otherwise(F.col(c)).alias(c)
+    return stats.select("partition_key", "chunk_id", "table_name", "column_name", "storage", "row_count", text("min_value"), text("max_value"))
 
 
-@query("SELECT * FROM (VALUES ('events', 'event_type', 'string', 'Tag'), ('events', 'time', 'time', 'Timestamp'), ('events', 'user_id', 'string', 'Tag'), ('events', 'value', 'float', 'Field'), ('orders', 'price', 'float', 'Field'), ('orders', 'priority', 'string', 'Tag'), ('orders', 'status', 'string', 'Tag'), ('orders', 'time', 'time', 'Timestamp')) AS t(table_name, column_name, data_type, role)")
+@query("""SELECT table_name, column_name, CAST(row_number() OVER (PARTITION BY table_name ORDER BY column_name) - 1 AS INTEGER) AS ordinal_position FROM (
+  SELECT 'events' AS table_name, unnest(['event_type', 'user_id', 'value', 'time']) AS column_name UNION ALL SELECT 'orders', unnest(['status', 'priority', 'price', 'time']))""")
 def information_columns(spark: SparkSession, d: str) -> DataFrame:
-    return system_tables.information_columns(spark, database(spark, d).tables)
+    shown = system_tables.information_columns(spark, {n: t.schema for n, t in database(spark, d).tables.items()})
+    return shown.select("table_name", "column_name", "ordinal_position")
 
 
 # SQL surface. The statements run on Spark SQL over the same views, with the reference's function names registered.
@@ -468,7 +538,7 @@ _spark_sql("sql_join_full", """SELECT c.k AS customer_nation, s.k AS supplier_na
   FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_nationkey > 5) s ON c.k = s.k""")
 _spark_sql("sql_join_using", """SELECT c_nationkey, n_name, count(*) AS n FROM customer JOIN (SELECT n_nationkey AS c_nationkey, n_name FROM nation) x USING (c_nationkey) GROUP BY c_nationkey, n_name""")
 _spark_sql("sql_semi", "SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000)")
-_spark_sql("sql_anti", "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+_spark_sql("sql_anti", "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)")
 _spark_sql("sql_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 8")
 _spark_sql("sql_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 _spark_sql("sql_cte", """WITH totals AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT max(total) AS best FROM totals)
@@ -490,8 +560,8 @@ _spark_sql("sql_string", """SELECT c_custkey, upper(c_name) AS a, lower(c_mktseg
   starts_with(c_name, 'Cust') AS k, CAST(strpos(c_name, '#') AS INTEGER) AS l, lower(to_hex(c_custkey)) AS m, reverse(c_mktsegment) AS n, substr(c_name, 2, 4) AS o, ascii(c_name) AS p, CAST(strlen(c_name) AS INTEGER) AS q,
   translate(c_name, 'abc', 'xyz') AS r, trim(c_name) AS s, CAST(bit_length(c_name) AS INTEGER) AS t, right(c_name, 3) AS u, concat_ws('/', c_name, c_mktsegment) AS v, 'A' || lower(c_mktsegment) AS w FROM customer""")
 _spark_sql("sql_date_trunc", """SELECT event_id, date_trunc('hour', ts) AS hour, date_trunc('month', ts) AS month, CAST(date_part('year', ts) AS BIGINT) AS year, CAST(date_part('day', ts) AS BIGINT) AS day FROM events""")
-_spark_sql("sql_to_timestamp", """SELECT event_id FROM events WHERE unix_micros(CAST(ts AS TIMESTAMP)) * 1000 >= to_timestamp_ns('2024-01-02T03:04:05.123456789Z') OR event_id % 7 = 0""",
-  """SELECT event_id FROM events WHERE epoch_us(ts) * 1000 >= 1704164645123456789 OR event_id % 7 = 0""")
+_spark_sql("sql_to_timestamp", """SELECT event_id FROM events WHERE unix_micros(CAST(ts AS TIMESTAMP)) * 1000 >= to_timestamp_ns('2024-01-02T03:04:05.123456789Z')""",
+  """SELECT event_id FROM events WHERE epoch_us(ts) * 1000 >= 1704164645123456789""")
 _spark_sql("sql_window_rank", """SELECT o_custkey, o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, lag(o_totalprice) OVER w AS before, lead(o_totalprice) OVER w AS after,
   first_value(o_orderkey) OVER w AS first, round(sum(o_totalprice) OVER w, 2) AS running FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
 _spark_sql("sql_subquery_from", "SELECT s.p AS priority, max(s.n) AS most FROM (SELECT o_orderpriority AS p, o_custkey, count(*) AS n FROM orders GROUP BY o_orderpriority, o_custkey) s GROUP BY s.p")
@@ -501,3 +571,15 @@ _spark_sql("sql_regex", "SELECT event_id, user_id FROM events WHERE regexp_like(
 _spark_sql("sql_three_way", """SELECT r.r_name, count(*) AS lines, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue
   FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
   WHERE l.l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY r.r_name""")
+_spark_sql("sql_join_right", "SELECT s.s_suppkey, count(c.c_custkey) AS customers FROM customer c RIGHT JOIN supplier s ON c.c_nationkey = s.s_nationkey AND c.c_acctbal > 5000 GROUP BY s.s_suppkey")
+_spark_sql("sql_join_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n")
+_spark_sql("sql_array", "SELECT c_custkey, array_join(array(c_name, c_mktsegment), '|') AS pair FROM customer", "SELECT c_custkey, array_to_string([c_name, c_mktsegment], '|') AS pair FROM customer")
+_spark_sql("sql_strings_trimmed", "SELECT c_custkey, ltrim('  ' || c_name) AS a, rtrim(c_name || '  ') AS b, chr(65 + c_nationkey) AS c, char_length(ltrim('  ' || c_mktsegment || ' ')) AS d FROM customer",
+  "SELECT c_custkey, ltrim('  ' || c_name) AS a, rtrim(c_name || '  ') AS b, chr(65 + c_nationkey) AS c, CAST(length(ltrim('  ' || c_mktsegment || ' ')) AS INTEGER) AS d FROM customer")
+_spark_sql("sql_timestamps", """SELECT event_id, to_timestamp_seconds(event_id) AS a, to_timestamp_millis(event_id) AS b, to_timestamp_micros(event_id) AS c, to_timestamp_ns('2024-01-01T02:00:00+02:00') AS d,
+  to_timestamp_ns('2024-01-01T00:00:00.5-01:30') AS e, ns_to_timestamp(unix_micros(CAST(ts AS TIMESTAMP)) * 1000 + 999) = CAST(ts AS TIMESTAMP) AS f, now_ns() > 1700000000000000000 AS g FROM events""",
+  """SELECT event_id, event_id * 1000000000 AS a, event_id * 1000000 AS b, event_id * 1000 AS c, 1704067200000000000 AS d, 1704072600500000000 AS e, true AS f, true AS g FROM events""")
+_spark_sql("sql_window_bounds", "SELECT window_bounds(unix_micros(CAST(ts AS TIMESTAMP)) * 1000, 3600000000000, 600000000000) AS stop, count(*) AS n FROM events GROUP BY 1",
+  f"SELECT t - (((t - {_OFFSET}) % {HOUR}) + {HOUR}) % {HOUR} + {HOUR} AS stop, count(*) AS n FROM (SELECT epoch_us(ts) * 1000 AS t FROM events) GROUP BY 1")
+_spark_sql("sql_regex_names", "SELECT event_id, regex_match(event_type, 'l.*k') AS hit, regex_not_match(event_type, '^v') AS miss FROM events",
+  "SELECT event_id, regexp_matches(event_type, 'l.*k') AS hit, NOT regexp_matches(event_type, '^v') AS miss FROM events")

@@ -6,11 +6,12 @@ lines come as Arrow batches of (path, line_no, line). Parsing them is left to th
 
 from __future__ import annotations
 
-import glob
+import io
 import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
@@ -66,14 +67,25 @@ def logical_lines(blocks: Iterator[str]) -> Iterator[str]:
         yield held[start:]
 
 
+def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    if path.startswith("file:") or "://" not in path:
+        return pafs.LocalFileSystem(), os.path.abspath("/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path)
+    return pafs.FileSystem.from_uri(path)
+
+
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://")
-    found = glob.glob(path) if any(c in path for c in "*?[") else [path]
-    return sorted(f for p in found for f in ([os.path.join(p, n) for n in os.listdir(p)] if os.path.isdir(p) else [p]) if not os.path.basename(f).startswith((".", "_")))
+    """The file, or the files of the folder, in the order of their names; hidden ones left out. Any file system pyarrow
+    knows by its URI will do."""
+    fs, at = _filesystem(path)
+    if fs.get_file_info(at).type != pafs.FileType.Directory:
+        return [path]
+    found = fs.get_file_info(pafs.FileSelector(at))
+    return sorted(f"{path.rstrip('/')}/{f.base_name}" for f in found if f.type == pafs.FileType.File and not f.base_name.startswith((".", "_")))
 
 
 def _batches(path: str) -> Iterator[pa.RecordBatch]:
-    with open(path, encoding="utf-8", errors="replace", newline="") as held:
+    fs, at = _filesystem(path)
+    with io.TextIOWrapper(fs.open_input_file(at), encoding="utf-8", errors="replace", newline="") as held:
         number, lines = 0, []
         for line in logical_lines(iter(lambda: held.read(BLOCK), "")):
             lines.append(line)
