@@ -1,6 +1,6 @@
 """Queries of the engine's stored databases: writing, chunks, pruning, lifecycle, system tables, SQL and streams.
 
-The events are written as line protocol to a database partitioned by month; then those with a value above 90 are written
+The events are written as line protocol to a database partitioned by event type (or by day, where chunks are pruned); then those with a value above 90 are written
 again with twice the value and a note, so that reads meet rewritten points.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.engine import Engine
-from tidemark.functions.partitioning import TimePart
+from tidemark.functions.partitioning import ColumnPart, TimePart
 from tidemark.functions.windows import Span
 from tidemark.lifecycle.policy import maintain
 from tidemark.plans import requests as R
@@ -28,7 +28,7 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 #: The stored table in SQL.
-W = """WITH w AS (SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) * 1000 AS time, strftime(ts, '%Y-%m') AS month,
+W = """WITH w AS (SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) * 1000 AS time, 'event_type_' || event_type AS part, strftime(ts, '%Y-%m-%d') AS day,
   arg_max(CASE WHEN value > 90 THEN value * 2 ELSE value END, event_id) AS value, max(CASE WHEN value > 90 THEN 'again' END) AS note FROM events GROUP BY ALL) """
 MIDDLE = "(SELECT min(epoch_us(ts) * 1000) + (max(epoch_us(ts) * 1000) - min(epoch_us(ts) * 1000)) // 2 FROM events)"
 
@@ -53,11 +53,11 @@ def lines(spark: SparkSession, d: str, again: bool = False) -> DataFrame:
     return df.orderBy("_seq").select(F.concat(F.lit("events,event_type="), "event_type", F.lit(",user_id="), "user_id", F.lit(" value="), number, extra, F.lit(" "), F.col("time").cast("string")).alias("text"))
 
 
-def engine(spark: SparkSession, d: str, clock: list[float] | None = None, **rules) -> Engine:  # noqa: ANN003
+def engine(spark: SparkSession, d: str, clock: list[float] | None = None, by_day: bool = False, **rules) -> Engine:  # noqa: ANN003
     """A fresh engine with the events written twice over; ``clock`` holds the time its database takes for now."""
     made = Engine(spark)
     settings = {"now": lambda: clock[0]} if clock else {}
-    made.create_database("db", Rules(partition_template=[TimePart("%Y-%m")], **rules), **settings)
+    made.create_database("db", Rules(partition_template=[TimePart("%Y-%m-%d") if by_day else ColumnPart("event_type")], **rules), **settings)
     made.write_lines("db", lines(spark, d))
     made.write_lines("db", lines(spark, d, again=True))
     return made
@@ -98,14 +98,14 @@ def pruned_scan(spark: SparkSession, d: str) -> DataFrame:
     """A day's rows: chunks outside it are left out by their bounds, and the field is only looked at after merging."""
     half = middle(events(spark, d))
     p = Predicate().range(half, half + 24 * HOUR).where(Compare(">", Ref("value"), Literal(100)))
-    return R.read_filter(engine(spark, d).databases["db"].table("events", p), p)
+    return R.read_filter(engine(spark, d, by_day=True).databases["db"].table("events", p), p)
 
 
-@query(W + f""", c AS (SELECT month, min(time) AS low, max(time) AS high FROM w GROUP BY month)
+@query(W + f""", c AS (SELECT day, min(time) AS low, max(time) AS high FROM w GROUP BY day)
 SELECT count(*) AS chunks, count(*) FILTER (WHERE high >= {MIDDLE} AND low < {MIDDLE} + 24 * {HOUR}) AS candidates FROM c""")
 def pruned_chunks(spark: SparkSession, d: str) -> DataFrame:
     """How many chunks there are, and how many a request for a day may find rows in."""
-    half, db = middle(events(spark, d)), engine(spark, d, open_row_threshold=1 << 60).databases["db"]
+    half, db = middle(events(spark, d)), engine(spark, d, by_day=True, open_row_threshold=1 << 60).databases["db"]
     return spark.createDataFrame([(len(db.chunks), len(db.candidates("events", Predicate().range(half, half + 24 * HOUR))))], "chunks bigint, candidates bigint")
 
 
@@ -116,7 +116,7 @@ def stored_window_count(spark: SparkSession, d: str) -> DataFrame:
     return R.read_window_aggregate(engine(spark, d).databases["db"].table("events", p), p, "count", Span(ns=24 * HOUR))
 
 
-@query(W + "SELECT month AS partition_key, 'ReadBuffer' AS storage, count(*) AS row_count FROM w GROUP BY ALL")
+@query(W + "SELECT part AS partition_key, 'ReadBuffer' AS storage, count(*) AS row_count FROM w GROUP BY ALL")
 def compact_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Maintenance merges the closed chunks of every partition into one without duplicates."""
     made = engine(spark, d, [0.0], open_linger=0)
@@ -124,14 +124,14 @@ def compact_chunks(spark: SparkSession, d: str) -> DataFrame:
     return made.system("db", "chunks").select("partition_key", "storage", "row_count")
 
 
-@query(W + "SELECT 'Complete' AS status, 'Compacting' AS description, month AS partition_key, CAST(0 AS BIGINT) AS chunk_id FROM w GROUP BY ALL")
+@query(W + "SELECT 'Complete' AS status, 'Compacting' AS description, part AS partition_key, CAST(0 AS BIGINT) AS chunk_id FROM w GROUP BY ALL")
 def sys_operations(spark: SparkSession, d: str) -> DataFrame:
     made = engine(spark, d, [0.0], open_linger=0, open_row_threshold=1 << 60)
     made.maintain()
     return made.sql("db", "SELECT status, description, partition_key, chunk_id FROM system.operations")
 
 
-@query(W + "SELECT month AS partition_key, 'ObjectStoreOnly' AS storage, count(*) AS row_count FROM w GROUP BY ALL")
+@query(W + "SELECT part AS partition_key, 'ObjectStoreOnly' AS storage, count(*) AS row_count FROM w GROUP BY ALL")
 def persist_by_age(spark: SparkSession, d: str) -> DataFrame:
     """Half an hour after the writes maintenance persists every partition."""
     clock = [1_000.0]
@@ -141,18 +141,18 @@ def persist_by_age(spark: SparkSession, d: str) -> DataFrame:
     return made.system("db", "chunks").select("partition_key", "storage", "row_count")
 
 
-@query(W + """SELECT month AS partition_key, 'events' AS table_name, c.name AS column_name, c.kind AS column_type, c.role FROM (SELECT DISTINCT month FROM w WHERE note IS NOT NULL), (VALUES
+@query(W + """SELECT part AS partition_key, 'events' AS table_name, c.name AS column_name, c.kind AS column_type, c.role FROM (SELECT DISTINCT part FROM w WHERE note IS NOT NULL), (VALUES
   ('event_type', 'String', 'tag'), ('note', 'String', 'field'), ('time', 'Time', 'time'), ('user_id', 'String', 'tag'), ('value', 'F64', 'field')) AS c(name, kind, role)
-UNION ALL SELECT month, 'events', c.name, c.kind, c.role FROM (SELECT month FROM w GROUP BY month HAVING count(note) = 0), (VALUES
+UNION ALL SELECT part, 'events', c.name, c.kind, c.role FROM (SELECT part FROM w GROUP BY part HAVING count(note) = 0), (VALUES
   ('event_type', 'String', 'tag'), ('time', 'Time', 'time'), ('user_id', 'String', 'tag'), ('value', 'F64', 'field')) AS c(name, kind, role)""")
 def sys_columns(spark: SparkSession, d: str) -> DataFrame:
     shown = engine(spark, d).sql("db", "SELECT * FROM system.columns")
     return shown.withColumn("role", F.lower(F.replace("role", F.lit("Timestamp"), F.lit("time"))))
 
 
-@query(W + """SELECT 'db' AS database_name, month AS partition_key, 'events' AS table_name, column_name, row_count, least, largest FROM (
-  SELECT month, 'user_id' AS column_name, count(user_id) AS row_count, min(user_id) AS least, max(user_id) AS largest FROM w GROUP BY 1
-  UNION ALL SELECT month, 'time', count(time), CAST(min(time) AS VARCHAR), CAST(max(time) AS VARCHAR) FROM w GROUP BY 1)""")
+@query(W + """SELECT 'db' AS database_name, part AS partition_key, 'events' AS table_name, column_name, row_count, least, largest FROM (
+  SELECT part, 'user_id' AS column_name, count(user_id) AS row_count, min(user_id) AS least, max(user_id) AS largest FROM w GROUP BY 1
+  UNION ALL SELECT part, 'time', count(time), CAST(min(time) AS VARCHAR), CAST(max(time) AS VARCHAR) FROM w GROUP BY 1)""")
 def observer(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of the chunks of all databases, without reading the chunks."""
     made = engine(spark, d, [0.0], open_linger=0)
