@@ -6,12 +6,10 @@ import json
 import pytest
 
 from tidemark.operators import schema_drift
-from tidemark.session import local_session
 
 
 @pytest.fixture(scope="module")
-def rows():
-    spark = local_session(2, 2)
+def rows(spark):
     day = lambda n: datetime.datetime(2021, 1, n)
     files = spark.createDataFrame(
         [(1, "d", "t", 1, day(1)), (2, "d", "t", 1, day(2)), (3, "d", "t", 1, day(3)), (4, "d", "t", 1, day(4)), (4, "d", "t", 1, day(4)), (5, "d", "u", 1, day(1)), (6, "d", "t", 1, day(6))],
@@ -35,8 +33,7 @@ def rows():
     lineages = schema_drift.lineages(ordered, schema_drift.schema_changes(ordered))
     found = schema_drift.consistent_rows(records, files, lineages).collect()
     assert len(found) == 10
-    yield {(r.file_id, r.row_no): (r.table_name, json.loads(r["values"]), r.failed) for r in found}
-    spark.stop()
+    return {(r.file_id, r.row_no): (r.table_name, json.loads(r["values"]), r.failed) for r in found}
 
 
 def test_files_without_declared_columns(rows):

@@ -58,13 +58,14 @@ _COMPARE = {
     "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
 }
 _ARITHMETIC = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b}
-_LOOK = re.compile(r"\(\?(?:[=!]|<[=!])|\\[1-9]|\\k<")
+#: Look-around, back references, atomic groups and possessive quantifiers.
+_LOOK = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k<|(?<!\\)[*+?}]\+")
 
 
 def regex_match(column: Column, pattern: str) -> Column:
     """Unanchored match, null for null. Constructs outside regular languages are refused."""
     if _LOOK.search(pattern):
-        raise UnsupportedPredicate(f"look-around and back references are not supported: {pattern}")
+        raise UnsupportedPredicate(f"only regular languages are supported: {pattern}")
     return column.rlike(pattern)
 
 
