@@ -21,7 +21,7 @@ from tidemark.store.database import Db
 
 def lines_from_folder(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
     """Line protocol files as they arrive in a folder; a file is one text, as values may hold line breaks."""
-    return spark.readStream.option("wholetext", "true").option("maxFilesPerTrigger", files_per_batch).text(folder)
+    return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
 
 
 def lines_from_kafka(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
