@@ -342,6 +342,52 @@ def rb_group_agg(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumnsRenamed(names).withColumn("total", F.round("total", 4))
 
 
+# The shapes of the known benchmarks: groups of few and many values, and a projection with and without a condition.
+
+L = """WITH l AS (SELECT l_returnflag AS flag, l_linestatus AS status, CAST(l_suppkey AS VARCHAR) AS supplier, CAST(l_partkey AS VARCHAR) AS part, CAST(l_linenumber AS VARCHAR) AS line,
+  l_quantity AS quantity, l_extendedprice AS price, epoch_us(l_shipdate) * 1000 AS time FROM lineitem) """
+
+
+def shipped(spark: SparkSession, d: str) -> TsTable:
+    """Order lines as a series table with five tags."""
+    c = F.col
+    df = table(spark, d, "lineitem").select(
+        c("l_returnflag").alias("flag"), c("l_linestatus").alias("status"), c("l_suppkey").cast("string").alias("supplier"), c("l_partkey").cast("string").alias("part"),
+        c("l_linenumber").cast("string").alias("line"), c("l_quantity").alias("quantity"), c("l_extendedprice").alias("price"), (F.unix_micros(c("l_shipdate").cast("timestamp")) * 1000).alias("time"),
+    )
+    return TsTable.of(df, ["flag", "status", "supplier", "part", "line"], "lines")
+
+
+def _grouped(tag: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = R.group_columns(shipped(spark, d), [tag], [("price", "sum"), ("price", "count")])
+        return df.withColumn("price_sum", F.round("price_sum", 2))
+
+    return run
+
+
+for _tag, _size in (("flag", "few"), ("supplier", "more"), ("part", "many")):
+    query(L + f"SELECT {_tag}, round(sum(price), 2) AS price_sum, count(price) AS price_count FROM l GROUP BY {_tag}", f"group_{_size}")(_grouped(_tag))
+
+
+@query(L + "SELECT flag, status, supplier, part, line, round(sum(quantity), 2) AS quantity, max(time) AS time FROM l WHERE supplier = '7' GROUP BY ALL")
+def group_tags_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of all tag sets of one supplier, in the order of one tag."""
+    p = Predicate().where(Compare("=", Ref("supplier"), Literal("7"))).field_columns("quantity")
+    return R.read_group(shipped(spark, d), p, "sum", ["status"]).withColumn("quantity", F.round("quantity", 2))
+
+
+@query(L + "SELECT supplier, part, price FROM l")
+def project_plain(spark: SparkSession, d: str) -> DataFrame:
+    return R.read_columns(shipped(spark, d), ["supplier", "part", "price"], Predicate())
+
+
+@query(L + "SELECT supplier, part, price FROM l WHERE flag = 'R' AND quantity > 25")
+def project_filtered(spark: SparkSession, d: str) -> DataFrame:
+    p = Predicate().where(Compare("=", Ref("flag"), Literal("R")), Compare(">", Ref("quantity"), Literal(25.0)))
+    return R.read_columns(shipped(spark, d), ["supplier", "part", "price"], p)
+
+
 # Pivot, split, sets
 
 

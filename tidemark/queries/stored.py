@@ -63,10 +63,21 @@ def engine(spark: SparkSession, d: str, clock: list[float] | None = None, by_day
     return made
 
 
+_SHARED: dict[tuple[str, str, bool], Engine] = {}
+
+
+def shared(spark: SparkSession, d: str, by_day: bool = False) -> Engine:
+    """The engine of this application for queries that only read."""
+    key = (spark.sparkContext.applicationId, d, by_day)
+    if key not in _SHARED:
+        _SHARED[key] = engine(spark, d, by_day=by_day, open_row_threshold=1 << 60)
+    return _SHARED[key]
+
+
 @query(W + "SELECT event_type, user_id, time, value, note FROM w")
 def write_read(spark: SparkSession, d: str) -> DataFrame:
     """What was written, from open chunks, with rewritten points merged."""
-    return engine(spark, d).databases["db"].table("events").shown()
+    return shared(spark, d).databases["db"].table("events").shown()
 
 
 @query(W + f"SELECT event_type, user_id, time, value, note FROM w WHERE time <= {MIDDLE}")
@@ -98,14 +109,14 @@ def pruned_scan(spark: SparkSession, d: str) -> DataFrame:
     """A day's rows: chunks outside it are left out by their bounds, and the field is only looked at after merging."""
     half = middle(events(spark, d))
     p = Predicate().range(half, half + 24 * HOUR).where(Compare(">", Ref("value"), Literal(100)))
-    return R.read_filter(engine(spark, d, by_day=True).databases["db"].table("events", p), p)
+    return R.read_filter(shared(spark, d, True).databases["db"].table("events", p), p)
 
 
 @query(W + f""", c AS (SELECT day, min(time) AS low, max(time) AS high FROM w GROUP BY day)
 SELECT count(*) AS chunks, count(*) FILTER (WHERE high >= {MIDDLE} AND low < {MIDDLE} + 24 * {HOUR}) AS candidates FROM c""")
 def pruned_chunks(spark: SparkSession, d: str) -> DataFrame:
     """How many chunks there are, and how many a request for a day may find rows in."""
-    half, db = middle(events(spark, d)), engine(spark, d, by_day=True, open_row_threshold=1 << 60).databases["db"]
+    half, db = middle(events(spark, d)), shared(spark, d, True).databases["db"]
     return spark.createDataFrame([(len(db.chunks), len(db.candidates("events", Predicate().range(half, half + 24 * HOUR))))], "chunks bigint, candidates bigint")
 
 
@@ -113,7 +124,7 @@ def pruned_chunks(spark: SparkSession, d: str) -> DataFrame:
 def stored_window_count(spark: SparkSession, d: str) -> DataFrame:
     """A window request over stored chunks."""
     p = Predicate().where(Compare("=", Ref("event_type"), Literal("click")))
-    return R.read_window_aggregate(engine(spark, d).databases["db"].table("events", p), p, "count", Span(ns=24 * HOUR))
+    return R.read_window_aggregate(shared(spark, d).databases["db"].table("events", p), p, "count", Span(ns=24 * HOUR))
 
 
 @query(W + "SELECT part AS partition_key, 'ReadBuffer' AS storage, count(*) AS row_count FROM w GROUP BY ALL")
@@ -146,7 +157,7 @@ def persist_by_age(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT part, 'events', c.name, c.kind, c.role FROM (SELECT part FROM w GROUP BY part HAVING count(note) = 0), (VALUES
   ('event_type', 'String', 'tag'), ('time', 'Time', 'time'), ('user_id', 'String', 'tag'), ('value', 'F64', 'field')) AS c(name, kind, role)""")
 def sys_columns(spark: SparkSession, d: str) -> DataFrame:
-    shown = engine(spark, d).sql("db", "SELECT * FROM system.columns")
+    shown = shared(spark, d).sql("db", "SELECT * FROM system.columns")
     return shown.withColumn("role", F.lower(F.replace("role", F.lit("Timestamp"), F.lit("time"))))
 
 
@@ -164,13 +175,13 @@ def observer(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT 'public' AS table_catalog, * FROM (VALUES ('default', 'events', 'BASE TABLE'), ('system', 'chunks', 'BASE TABLE'), ('system', 'columns', 'BASE TABLE'), ('system', 'chunk_columns', 'BASE TABLE'),
   ('system', 'operations', 'BASE TABLE'), ('information_schema', 'tables', 'VIEW'), ('information_schema', 'columns', 'VIEW')) AS t(table_schema, table_name, table_type)""")
 def show_tables(spark: SparkSession, d: str) -> DataFrame:
-    return engine(spark, d).sql("db", "SHOW TABLES")
+    return shared(spark, d).sql("db", "SHOW TABLES")
 
 
 @query("""SELECT 'public' AS table_catalog, 'default' AS table_schema, 'events' AS table_name, * FROM (VALUES ('event_type', 'YES', 'string'), ('note', 'YES', 'string'), ('time', 'NO', 'bigint'),
   ('user_id', 'YES', 'string'), ('value', 'YES', 'double')) AS t(column_name, is_nullable, data_type)""")
 def show_columns(spark: SparkSession, d: str) -> DataFrame:
-    return engine(spark, d).sql("db", "SHOW COLUMNS FROM events")
+    return shared(spark, d).sql("db", "SHOW COLUMNS FROM events")
 
 
 @query(W + """, s AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, time) AS a, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, time) AS b FROM w)
@@ -178,21 +189,21 @@ SELECT event_type, max(value) FILTER (WHERE a = 1) AS low, max(time) FILTER (WHE
   min(time) AS first_time, max(time) AS last_time FROM s GROUP BY event_type""")
 def sql_selectors(spark: SparkSession, d: str) -> DataFrame:
     """Selectors as functions of SQL over a stored table."""
-    return engine(spark, d).sql("db", """SELECT event_type, selector_min_value(value, time) AS low, selector_min_time(value, time) AS low_time, selector_max_value(value, time) AS high,
+    return shared(spark, d).sql("db", """SELECT event_type, selector_min_value(value, time) AS low, selector_min_time(value, time) AS low_time, selector_max_value(value, time) AS high,
       selector_max_time(value, time) AS high_time, selector_first_time(value, time) AS first_time, selector_last_time(value, time) AS last_time FROM public.default.events GROUP BY event_type""")
 
 
 @query(W + "SELECT event_type, n, note FROM (SELECT event_type, count(*) AS n, count(note) AS note FROM w GROUP BY event_type)")
 def output_json(spark: SparkSession, d: str) -> DataFrame:
     """A result given out as JSON text and read again."""
-    text = engine(spark, d).sql("db", "SELECT event_type, count(*) AS n, count(note) AS note FROM events GROUP BY event_type", "json")
+    text = shared(spark, d).sql("db", "SELECT event_type, count(*) AS n, count(note) AS note FROM events GROUP BY event_type", "json")
     held = spark.createDataFrame([(text,)], "t string").select(F.inline(F.from_json("t", "array<struct<event_type string, n bigint, note bigint>>")))
     return held
 
 
 @query(W + "SELECT event_type, CAST(n AS VARCHAR) AS n FROM (SELECT event_type, count(*) AS n FROM w GROUP BY event_type)")
 def output_csv(spark: SparkSession, d: str) -> DataFrame:
-    text = engine(spark, d).sql("db", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type", "csv")
+    text = shared(spark, d).sql("db", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type", "csv")
     head, *rows = [line.split(",") for line in text.splitlines()]
     return spark.createDataFrame(rows, ", ".join(f"{h} string" for h in head))
 
@@ -200,7 +211,7 @@ def output_csv(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT true AS pushed, true AS pruned")
 def explain(spark: SparkSession, d: str) -> DataFrame:
     """The plan of a statement: conditions on keys reach the scan, and columns that nothing needs are not read."""
-    plan = engine(spark, d).sql("db", "EXPLAIN SELECT value FROM events WHERE event_type = 'click' AND time > 0").first()[0]
+    plan = shared(spark, d).sql("db", "EXPLAIN SELECT value FROM events WHERE event_type = 'click' AND time > 0").first()[0]
     scan = plan[plan.index("ReadSchema") :].split("\n")[0]
     return spark.createDataFrame([("EqualTo(event_type,click)" in plan, "note" not in scan)], "pushed boolean, pruned boolean")
 
