@@ -33,6 +33,12 @@ LINE = (
     r"(?:\n|\z)"
 )
 
+# Most lines are plain: no escapes, numbers far from the limits of their types, and no tag key twice. One expression tells,
+# and what it does not match may still be valid.
+_NAME, _VALUE = r"[^ \t\n,=\\]++", r'(?:-?[0-9]{1,18}i|[0-9]{1,19}u|-?[0-9]{1,200}(?:\.[0-9]{1,200})?+|"[^"\\]*+"|' + BOOL + ")"
+PLAIN = rf"^{_NAME}(?:,{_NAME}={_NAME})*+ ++{_NAME}={_VALUE}(?:,{_NAME}={_VALUE})*+(?: ++-?[0-9]{{1,18}})?+ *+\z"
+TWICE = r"^[^ ,]*+(?:,[^, ]*)*?,([^,= ]++)=[^, ]*+(?:,[^, ]*)*?,\1="
+
 REASONS = (
     "no measurement",
     "name ends with backslash",
@@ -69,25 +75,30 @@ def _unescape(name: Column) -> Column:
     return F.regexp_replace(name, r"\\([\\,= ])", "$1")
 
 
-def parse_lines(df: DataFrame, text_col: str = "lp_data", line_col: str = "line_no") -> DataFrame:
-    """``df`` exploded to one row per logical line with its parts as text.
+def parse_lines(df: DataFrame, text_col: str = "lp_data", line_col: str = "line_no", judge_only: bool = False) -> DataFrame:
+    """``df`` exploded to one row per logical line with its parts as text. With ``judge_only`` the parts of lines that one
+    expression shows to be valid are left empty.
 
     Added columns: ``line_no`` (from 1; null where there is no line), ``kind`` (blank, comment, line; null), ``body``,
     ``measurement``, ``tags_raw``, ``fields_raw``, ``time_raw`` and the arrays ``tag_keys``, ``tag_values``,
     ``field_keys``, ``field_values``, and ``errors``.
     """
     added = {line_col, "kind", "body", "measurement", "tags_raw", "fields_raw", "time_raw", "tail", "tag_keys",
-             "tag_values", "field_keys", "field_values", "errors", "_line", "_pos", "_a", "_gap"}
+             "tag_values", "field_keys", "field_values", "errors", "_line", "_pos", "_a", "_plain", "_read"}
     kept = [c for c in df.columns if c not in added and c != text_col]
     lines = df.select(*[F.col(f"`{c}`") for c in kept], F.posexplode_outer(logical_lines(F.col(f"`{text_col}`"))).alias("_pos", "_line"))
     # Extraction by regexp keeps the newline that ends a line; it is no part of it.
     lines = lines.withColumn("body", F.regexp_replace(F.regexp_replace("_line", r"\n\z", ""), r"^[ \t]++", ""))
+    if judge_only:
+        lines = lines.withColumn("_plain", F.col("body").rlike(PLAIN) & ~F.col("body").rlike(TWICE)).withColumn("_read", F.when(F.col("_plain"), "").otherwise(F.col("body")))
+    else:
+        lines = lines.withColumn("_plain", F.lit(False)).withColumn("_read", F.col("body"))
     head = rf"^({NAME}*+)"
     tags = r"^(,(?:[^ \t\n\\]|\\[\s\S])*+)"
     fields = rf"^ ++((?:={STRING}|\\[\s\S]|[^ \t\n\\])++)"
     parts = (
-        lines.withColumn("measurement", _part(F.col("body"), head))
-        .withColumn("_a", _rest(F.col("body"), F.col("measurement")))
+        lines.withColumn("measurement", _part(F.col("_read"), head))
+        .withColumn("_a", _rest(F.col("_read"), F.col("measurement")))
         .withColumn("tags_raw", _part(F.col("_a"), tags))
         .withColumn("_a", _rest(F.col("_a"), F.col("tags_raw")))
         .withColumn("fields_raw", _part(F.col("_a"), fields))
@@ -103,7 +114,7 @@ def parse_lines(df: DataFrame, text_col: str = "lp_data", line_col: str = "line_
         .withColumn("field_values", pick(F.col("fields_raw"), field_one, 2))
     )
     kind = F.when(F.col("_pos").isNull(), None).when(F.col("body") == "", "blank").when(F.col("body").startswith("#"), "comment").otherwise("line")
-    errors = F.when(F.col("kind") == "line", F.array_compact(F.array(*_rules()))).otherwise(F.array().cast("array<string>"))
+    errors = F.when((F.col("kind") == "line") & ~F.col("_plain"), F.array_compact(F.array(*_rules()))).otherwise(F.array().cast("array<string>"))
     # The judged line is generated as one struct: a filter on the errors stays above it, and is not pushed to where every
     # part would be extracted again for each of its uses in the rules.
     judged = parts.withColumn("kind", kind).withColumn("errors", errors).withColumn(line_col, (F.col("_pos") + 1).cast("int"))
@@ -175,7 +186,7 @@ def load_report(writes: DataFrame, key: str = "request_id", text: str = "lp_data
     """(request, line_no, reason, valid_lines): one row for each rejected line, and one with line_no 0 for each request
     whose claimed number is not null and is not its number of valid lines."""
     # Requests are told apart by their row, as an id may repeat.
-    parsed = parse_lines(writes.select(key, claimed, text, F.monotonically_increasing_id().alias("_request")), text)
+    parsed = parse_lines(writes.select(key, claimed, text, F.monotonically_increasing_id().alias("_request")), text, judge_only=True)
     valid = (F.col("kind") == "line") & (F.size("errors") == 0)
     bad = F.when(F.size("errors") > 0, F.struct("line_no", F.array_join("errors", "; ").alias("reason"), F.lit(None).cast("bigint").alias("valid_lines")))
     # A request's lines are made in one task, so this combines before the shuffle; its rejected lines are no longer than its text.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import hot_keys, quarantine, regular_grid, schema_drift, small_files
-from tidemark.session import cut_lineage, scratch_path, table
+from tidemark.session import cut_lineage, enough_tasks, scratch_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,13 +32,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 @query()
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return quarantine.load_report(table(spark, d, "writes")).select("request_id", "line_no").distinct()
+    return quarantine.load_report(enough_tasks(table(spark, d, "writes"))).select("request_id", "line_no").distinct()
 
 
 @query()
 def p1_rejected(spark: SparkSession, d: str) -> DataFrame:
     """Each rejected line and wrong request with its reason."""
-    return quarantine.load_report(table(spark, d, "writes"))
+    return quarantine.load_report(enough_tasks(table(spark, d, "writes")))
 
 
 @query()
