@@ -18,7 +18,7 @@ from tidemark.sources import system_tables
 from tidemark.store.database import Db, Rules
 from tidemark.store.storage import Storage
 
-_NAME = re.compile(r"^[A-Za-z0-9][A-Za-z0-9_.-]*$")
+_NAME = re.compile(r"^[A-Za-z0-9%][A-Za-z0-9_.%-]*$")
 #: Schemas in front of a table's name, with the prefix of the views that stand for their tables.
 _SCHEMAS = {"system": "_system_", "information_schema": "_information_", "default": ""}
 _QUALIFIED = re.compile(r"\b(?:public\.)?(system|information_schema|default)\.([A-Za-z_]\w*)", re.IGNORECASE)

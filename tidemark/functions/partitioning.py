@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import ns_to_micros
@@ -78,3 +78,11 @@ def shard(table: Column, keys: list[Column], patterns: list[tuple[str, int]], sh
     for pattern, number in reversed(patterns):
         chosen = F.when(table.rlike(pattern), F.lit(number)).otherwise(chosen)
     return chosen
+
+
+def routed(df: DataFrame, table: str, parts: list, keys: list[str], patterns: list[tuple[str, int]], shards: int | None, time: str = "time") -> DataFrame:
+    """Rows of a table with ``shard`` and ``partition_key``, laid out so that each (shard, partition) is written together.
+    Rebalancing splits a partition that has most of the rows, and joins small ones."""
+    number = shard(F.lit(table), [F.col(f"`{k}`") for k in keys], patterns, shards)
+    placed = df.withColumn("shard", number).withColumn("partition_key", partition_key(parts, table, df.columns, F.col(time)))
+    return placed.hint("rebalance", "shard", "partition_key")

@@ -311,27 +311,37 @@ def reorder_prefix(spark: SparkSession, d: str) -> DataFrame:
     return t.df.groupBy(*R.reorder_prefix(["user_id"], t.schema.tags)).agg(F.count(F.lit(1)).alias("n"))
 
 
-# Aggregates
+L = """WITH l AS (SELECT l_returnflag AS flag, l_linestatus AS status, CAST(l_suppkey AS VARCHAR) AS supplier, CAST(l_partkey AS VARCHAR) AS part, CAST(l_linenumber AS VARCHAR) AS line,
+  l_quantity AS quantity, l_extendedprice AS price, epoch_us(l_shipdate) * 1000 AS time FROM lineitem) """
 
 
-@query("SELECT l_returnflag, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY ALL")
-def agg_sum(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum("l_quantity"), 2).alias("total"))
+def shipped(spark: SparkSession, d: str) -> TsTable:
+    """Order lines as a series table with five tags."""
+    c = F.col
+    df = table(spark, d, "lineitem").select(
+        c("l_returnflag").alias("flag"), c("l_linestatus").alias("status"), c("l_suppkey").cast("string").alias("supplier"), c("l_partkey").cast("string").alias("part"),
+        c("l_linenumber").cast("string").alias("line"), c("l_quantity").alias("quantity"), c("l_extendedprice").alias("price"), (F.unix_micros(c("l_shipdate").cast("timestamp")) * 1000).alias("time"),
+    )
+    return TsTable.of(df, ["flag", "status", "supplier", "part", "line"], "lines")
 
 
-@query("SELECT l_shipdate, count(l_tax) AS n FROM lineitem GROUP BY ALL")
-def agg_count(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_shipdate").agg(F.count("l_tax").alias("n"))
+# Aggregates
 
 
-@query("SELECT l_suppkey, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem GROUP BY ALL")
-def agg_minmax(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
+def _aggregates(tag: str, wanted: dict[str, tuple[str, str]]) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = R.group_columns(shipped(spark, d), [tag], list(wanted.values()))
+        return df.select(tag, *[(F.round(f"{c}_{k}", 6) if k in ("sum", "mean") else F.col(f"{c}_{k}")).alias(name) for name, (c, k) in wanted.items()])
+
+    return run
 
 
-@query("SELECT l_partkey, round(avg(l_discount), 6) AS mean FROM lineitem GROUP BY ALL")
-def agg_mean(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_partkey").agg(F.round(F.avg("l_discount"), 6).alias("mean"))
+for _name, _tag, _wanted in (
+    ("agg_sum", "flag", {"total": ("quantity", "sum")}), ("agg_count", "line", {"n": ("price", "count")}),
+    ("agg_minmax", "supplier", {"low": ("price", "min"), "high": ("price", "max")}), ("agg_mean", "part", {"mean": ("quantity", "mean")}),
+):
+    _sql = ", ".join(f"{'round(sum({}), 6)' if k == 'sum' else 'round(avg({}), 6)' if k == 'mean' else k + '({})'} AS {n}".format(c) for n, (c, k) in _wanted.items())
+    query(f"{L}SELECT {_tag}, {_sql} FROM l GROUP BY {_tag}", _name)(_aggregates(_tag, _wanted))
 
 
 @query(E + "SELECT event_type, user_id, count(value) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high, arg_min(value, time) AS first, arg_max(value, time) AS last FROM e GROUP BY ALL")
@@ -344,19 +354,6 @@ def rb_group_agg(spark: SparkSession, d: str) -> DataFrame:
 
 # The shapes of the known benchmarks: groups of few and many values, and a projection with and without a condition.
 
-L = """WITH l AS (SELECT l_returnflag AS flag, l_linestatus AS status, CAST(l_suppkey AS VARCHAR) AS supplier, CAST(l_partkey AS VARCHAR) AS part, CAST(l_linenumber AS VARCHAR) AS line,
-  l_quantity AS quantity, l_extendedprice AS price, epoch_us(l_shipdate) * 1000 AS time FROM lineitem) """
-
-
-def shipped(spark: SparkSession, d: str) -> TsTable:
-    """Order lines as a series table with five tags."""
-    c = F.col
-    df = table(spark, d, "lineitem").select(
-        c("l_returnflag").alias("flag"), c("l_linestatus").alias("status"), c("l_suppkey").cast("string").alias("supplier"), c("l_partkey").cast("string").alias("part"),
-        c("l_linenumber").cast("string").alias("line"), c("l_quantity").alias("quantity"), c("l_extendedprice").alias("price"), (F.unix_micros(c("l_shipdate").cast("timestamp")) * 1000).alias("time"),
-    )
-    return TsTable.of(df, ["flag", "status", "supplier", "part", "line"], "lines")
-
 
 def _grouped(tag: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
@@ -530,6 +527,15 @@ def shard_assign(spark: SparkSession, d: str) -> DataFrame:
     return t.select("event_type", "user_id", number.alias("shard"))
 
 
+@query(E + """SELECT shard, partition_key, count(*) AS n FROM (SELECT 'events-' || strftime(make_timestamp(time // 1000), '%Y-%m-%d') AS partition_key,
+  CAST(CAST('0x' || substr(md5('events' || chr(1) || user_id), 1, 15) AS BIGINT) % 4 AS INTEGER) AS shard FROM e) GROUP BY ALL""")
+def route_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by shard and partition, as a writer with several targets lays them out."""
+    parts = [partitioning.TablePart(), partitioning.TimePart("%Y-%m-%d")]
+    placed = partitioning.routed(events(spark, d).df, "events", parts, ["user_id"], [], 4)
+    return placed.groupBy("shard", "partition_key").agg(F.count(F.lit(1)).alias("n"))
+
+
 # System tables
 
 
