@@ -275,6 +275,8 @@ class Splitter:
         self.plain = text.isascii()
         self.thai = not self.plain and THAI_LETTER.search(text) is not None
         self.emoji = not self.plain and EMOJI.search(text) is not None
+        self.quoted = OPENER.search(text) is not None
+        self.inner = "@" in text or INNER.search(text) is not None
         found: list[tuple[int, int]] = []
         for line in LINES.finditer(text):
             self._line(line.group(), line.start(), found)
@@ -283,9 +285,15 @@ class Splitter:
     def _line(self, s: str, offset: int, found: list[tuple[int, int]]) -> None:
         start = 0
         for cut in self._cuts(s):
-            self._add(s, start, cut, offset, found)
+            # Most sentences start one space after the last.
+            begin = start + 1 if start and s[start] == " " else start
+            if s[begin].isspace() or s[cut - 1].isspace():
+                self._add(s, start, cut, offset, found)
+            else:
+                found.append((offset + begin, offset + cut))
             start = cut
-        self._add(s, start, len(s), offset, found)
+        if start < len(s):
+            self._add(s, start, len(s), offset, found)
 
     @staticmethod
     def _add(s: str, start: int, end: int, offset: int, found: list[tuple[int, int]]) -> None:
@@ -298,28 +306,29 @@ class Splitter:
     # Cuts of one line
 
     def _cuts(self, s: str) -> list[int]:
-        self.fixed = [m.span() for m in ADDRESS.finditer(s)] if INNER.search(s) or "@" in s else []
+        self.fixed = [m.span() for m in ADDRESS.finditer(s)] if self.inner and (INNER.search(s) or "@" in s) else []
         spaces = {m.start(): m.end() for m in THAI.finditer(s)} if self.thai else {}
         cuts: list[int] = []
-        quotes = self._quotes(s)
+        fixed, quotes = self.fixed, self._quotes(s)
         emoji = {m.start(): m.end() for m in EMOJI.finditer(s)} if self.emoji else {}
         places = [m.start() for m in MARK.finditer(s)]
         if spaces or quotes or emoji:
             places = sorted({*places, *spaces, *quotes, *emoji})
         i, begin, address = 0, self._skip(s, 0), 0
-        if number := LIST_NUMBER.match(s):
+        if s[begin : begin + 1].isdigit() and (number := LIST_NUMBER.match(s)):
             i = number.end()  # the number of a list entry
         for at in places:
             if at < i:
                 continue
-            while address < len(self.fixed) and self.fixed[address][1] <= at:
-                address += 1
-            if address < len(self.fixed) and self.fixed[address][0] <= at:
-                i = self.fixed[address][1]
-                continue
-            if at in spaces or at in quotes or at in emoji:
-                pass
-            elif begin < at and self._is_plain_end(s, at, begin):
+            if fixed:
+                while address < len(fixed) and fixed[address][1] <= at:
+                    address += 1
+                if address < len(fixed) and fixed[address][0] <= at:
+                    i = fixed[address][1]
+                    continue
+            if at == len(s) - 1 and s[at] in ".!?":
+                break  # the line ends the sentence anyway
+            if begin < at and s[at] in ".!?" and self._is_plain_end(s, at, begin):
                 cuts.append(at + 1)
                 i = begin = at + 2
                 continue
@@ -352,8 +361,10 @@ class Splitter:
             return True
         if s[at] != "." or not nxt.isupper() or not s[at + 3 : at + 4].islower():
             return False
-        self.begin = begin
-        token = self._token(s, at)
+        token = s[max(s.rfind(" ", begin, at) + 1, begin) : at]
+        if not (token.isalpha() and token.isascii()):
+            self.begin = begin
+            token = self._token(s, at)
         low = token.lower()
         return len(token) > 1 and token.isalpha() and low not in TITLES and low not in LEADS and low not in ENDS and not self._abbreviates(low)
 
@@ -390,6 +401,8 @@ class Splitter:
         """Opening place of each outermost quotation or bracket of the line, and the place that closes it."""
         found: dict[int, int] = {}
         self.opened = set()
+        if not self.quoted:
+            return found
         pairs: dict[str, dict[int, int]] = {}
         singles: list[int] | None = None
         i = 0
