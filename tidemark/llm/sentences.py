@@ -309,7 +309,7 @@ class Splitter:
         self.fixed = [m.span() for m in ADDRESS.finditer(s)] if self.inner and (INNER.search(s) or "@" in s) else []
         spaces = {m.start(): m.end() for m in THAI.finditer(s)} if self.thai else {}
         cuts: list[int] = []
-        fixed, quotes = self.fixed, self._quotes(s)
+        fixed, quotes, cased = self.fixed, self._quotes(s), self.cased
         emoji = {m.start(): m.end() for m in EMOJI.finditer(s)} if self.emoji else {}
         places = [m.start() for m in MARK.finditer(s)]
         if spaces or quotes or emoji:
@@ -326,12 +326,28 @@ class Splitter:
                 if address < len(fixed) and fixed[address][0] <= at:
                     i = fixed[address][1]
                     continue
-            if at == len(s) - 1 and s[at] in ".!?":
+            if at == len(s) - 1:
                 break  # the line ends the sentence anyway
-            if begin < at and s[at] in ".!?" and self._is_plain_end(s, at, begin):
-                cuts.append(at + 1)
-                i = begin = at + 2
-                continue
+            if begin < at and at not in quotes:
+                mark, after = s[at], s[at + 1]
+                if mark == ".":
+                    # Inside a number, or before a word in lower case where sentences begin with capitals: no end.
+                    if after.isdigit() or cased and after == " " and "a" <= s[at + 2 : at + 3] <= "z":
+                        i = at + 1
+                        continue
+                    plain = after == " " and self._is_plain_end(s, at, begin)
+                elif mark in "!?":
+                    plain = after == " " and self._is_plain_end(s, at, begin)
+                elif mark in HARD and after.isalpha() and not after.isascii():
+                    cuts.append(at + 1)
+                    i = begin = at + 1
+                    continue
+                else:
+                    plain = False
+                if plain:
+                    cuts.append(at + 1)
+                    i = begin = at + 2
+                    continue
             if at in spaces:
                 end = at
             elif at in quotes:
