@@ -51,7 +51,7 @@ def overlap_groups(bounds: list[dict[str, tuple | None]]) -> list[list[int]]:
         time = bounds[i].get("time")
         active = [j for j in active if time is None or bounds[j].get("time") is None or bounds[j]["time"][1] >= time[0]]
         for j in active:
-            if _may_overlap(bounds[i], bounds[j]):
+            if find(i) != find(j) and _may_overlap(bounds[i], bounds[j]):
                 parent[find(i)] = find(j)
         active.append(i)
     groups: dict[int, list[int]] = {}

@@ -31,7 +31,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.ranking import spread_join, with_position
+from tidemark.plans.ranking import with_position
 from tidemark.session import cut_lineage
 
 PARTITION = ["db_name", "table_name", "partition_key"]
@@ -72,9 +72,7 @@ def merge_plan(live: DataFrame, small: int = SMALL, target: int = TARGET) -> Dat
         raise ValueError("the target must be several times the size of a small file")
     c = F.col
     candidates = live.filter(c("file_bytes") < small).select(*PARTITION, "file_id", "file_bytes")
-    counts = candidates.groupBy(*PARTITION).agg(F.count(F.lit(1)).alias("_files")).filter(c("_files") > 1)
-    merged = spread_join(candidates, counts, PARTITION)
-    placed = with_position(merged, PARTITION, [c("file_bytes").desc(), c("file_id").asc()])
+    placed = with_position(candidates, PARTITION, [c("file_bytes").desc(), c("file_id").asc()], size="_files").filter(c("_files") > 1)
     lists = F.ceil(c("_files") / SUBLIST)
     dealt = placed.withColumn("_list", F.pmod("position", lists)).select(*PARTITION, "file_id", "file_bytes", "_list")
 

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from tidemark.session import cut_lineage
 
 
-def with_position(df: DataFrame, group: list[str], order: list[Column], name: str = "position") -> DataFrame:
-    """``df`` with the 0-based position of each row in its group; ties get an arbitrary but fixed order.
+def with_position(df: DataFrame, group: list[str], order: list[Column], name: str = "position", size: str | None = None) -> DataFrame:
+    """``df`` with the 0-based position of each row in its group; ties get an arbitrary but fixed order. With ``size`` also
+    the number of rows of the group.
 
     Null group values form a group. The result reads a checkpoint, so it is the same however often it is computed.
     """
@@ -25,20 +26,12 @@ def with_position(df: DataFrame, group: list[str], order: list[Column], name: st
     held = cut_lineage(sliced.withColumn("_row", row).withColumn("_slice", F.shiftright("_row", 33).cast("int")))
     counts = held.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_slice").alias("_s"), F.pmod("_first", F.lit(width)).alias("_at"), before.alias("_before"))
+    whole = F.sum("_n").over(Window.partitionBy(*group))
+    starts = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_slice").alias("_s"), F.pmod("_first", F.lit(width)).alias("_at"), before.alias("_before"), whole.alias("_whole"))
     same = F.col("_slice") == F.col("_s")
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    return held.join(starts, same).select(*df.columns, (F.pmod("_row", F.lit(width)) - F.col("_at") + F.col("_before")).alias(name))
-
-
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
-    """``left`` joined with ``right`` (one row per key), the rows of a hot key on the left being spread over ``salts``
-    tasks and the single row on the right repeated for each. Null keys do not join."""
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in left.dtypes if not kind.startswith(("map", "variant"))]), F.lit(salts)).cast("int")
-    salted = left.withColumn("_salt", salt)
-    copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copied, [*keys, "_salt"], how).drop("_salt")
+    return held.join(starts, same).select(*df.columns, (F.pmod("_row", F.lit(width)) - F.col("_at") + F.col("_before")).alias(name), *([F.col("_whole").alias(size)] if size else []))
 
 
 def carry_last(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
