@@ -47,7 +47,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 @needs_data
 def test_entry(spark):
-    assert sorted(__spark_entry__.entry(spark).columns) == ["event_type", "user_id", "value", "time"]
+    assert sorted(__spark_entry__.entry(spark).columns) == ["event_type", "time", "user_id", "value"]
 
 
 def test_library_without_text_operators(tmp_path):

@@ -205,3 +205,11 @@ def test_frames(spark):
         S.series_frames(unsigned.df, unsigned, "m")
     nothing = R.read_filter(t, Predicate().field_columns("none"))
     assert S.series_frames(nothing, t, "m").count() == 0
+
+
+def test_order_of_filtered_rows(spark):
+    lines = ["m,a=2 v=1 5", "m,a=1,b=x v=1 9", "m v=1 7", "m,a=1 v=1 3", "m,a=1,b=x v=1 2"]
+    t = build(spark, lines, "lines").table("m")
+    rows = [(r.a, r.b, r.time) for r in R.read_filter(t, Predicate()).collect()]
+    assert rows == [(None, None, 7), ("1", None, 3), ("1", "x", 2), ("1", "x", 9), ("2", None, 5)]
+    assert R.read_filter(t, Predicate()).columns == ["a", "b", "v", "time"]

@@ -307,3 +307,12 @@ def test_streams_write_once_and_set_bad_lines_aside(spark, tmp_path):
     batch = spark.createDataFrame([("m v=2 1\nm v=3 3\n",)], "value string")
     ingest.write_batch(db)(batch, 1)  # run again after a failure
     assert rows(db.table("m").shown()) == [(1, 2.0), (3, 3.0)]
+
+
+def test_merged_chunks_are_sorted_with_nulls_last(spark, db):
+    db.write_lines("m,a=2,b=x v=1 5\nm,a=1,b=x v=1 9\nm,b=x v=1 1\nm,a=1,b=x v=1 3\nm,a=1 v=1 4\nm,a=1,b=y v=1 2\nm,a=3,b=x v=1 1")
+    made = db.compact([db.rollover("m", "1970-01-01")])
+    assert made.sort_key == ["b", "a", "time"]
+    files = sorted(n for n in db.storage.names(db.storage.relative(made.parts[0])) if n.endswith(".parquet"))
+    held = [tuple(r) for f in files for r in spark.read.parquet(f"{made.parts[0]}/{f}").select("b", "a", "time").collect()]
+    assert held == [("x", "1", 3), ("x", "1", 9), ("x", "2", 5), ("x", "3", 1), ("x", None, 1), ("y", "1", 2), (None, "1", 4)]

@@ -29,8 +29,43 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 # 1. Rows that fail to parse
 
+# The grammar once more, for one match of the whole line. A name must not end with a backslash.
+_UNIT = r"(?:[^ \t\n,\\]|\\(?s:.))"
+_KEY = r"(?:[^ \t\n=\\]|\\(?s:.))*(?:[^ \t\n=\\]|\\[^\\])"
+_NAME = rf"{_UNIT}*(?:[^ \t\n,\\]|\\[^\\])"
+_STRING = r'"(?:[^"\\]|\\(?s:.))*"'
+_VALUE = rf"(?:-?[0-9]+i|[0-9]+u|[0-9]+[eE][-+][0-9]+|-?[0-9]+(?:\.[0-9]+(?:[eE][-+][0-9]+)?)?|{_STRING}|true|True|TRUE|t|T|false|False|FALSE|f|F)"
+_FIELDS = rf"(?:{_KEY}={_VALUE},?|{_KEY}={_VALUE}(?:,{_KEY}={_VALUE})+)"
+_TAGS = rf"(?:,(?:{_KEY}={_NAME}(?:,{_KEY}={_NAME})*)?)?"
+_LINES = r'((?:[ \t]*#[^\n]*|[ \t]*(?:[^ \n\\]|\\[^\n])*(?:="(?:[^"\\]|\\(?s:.))*(?:"|\\?\z)|\\[^\n]?|[^\n\\])*)(?:\n|\z))'
+_quoted = lambda text: "'" + text.replace("'", "''") + "'"
+_P1 = f"""
+WITH lines AS (
+  SELECT request_id, lines_written, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_no
+  FROM (SELECT request_id, lines_written, regexp_extract_all(lp_data, {_quoted(_LINES)}, 1) AS parts FROM writes)
+), bodies AS (
+  SELECT request_id, CAST(line_no AS INTEGER) AS line_no, regexp_replace(regexp_replace(line, '\n$', ''), '^[ \t]+', '') AS body FROM lines
+), parts AS (
+  SELECT *, regexp_extract(body, {_quoted(f"^{_NAME}({_TAGS}) +({_FIELDS})(?: +(-?[0-9]+))? *$")}, ['tags', 'fields', 'at']) AS m,
+    regexp_full_match(body, {_quoted(f"{_NAME}{_TAGS} +{_FIELDS}(?: +-?[0-9]+)? *")}) AS formed
+  FROM bodies WHERE body <> '' AND body NOT LIKE '#%'
+), judged AS (
+  SELECT request_id, line_no, formed
+    AND (m['at'] = '' OR TRY_CAST(m['at'] AS BIGINT) IS NOT NULL)
+    AND len(list_filter(regexp_extract_all(m['fields'], {_quoted(f"(?:^|,){_KEY}=({_VALUE})")}, 1), lambda v: CASE
+      WHEN regexp_full_match(v, '-?[0-9]+i') THEN TRY_CAST(left(v, -1) AS BIGINT) IS NULL
+      WHEN regexp_full_match(v, '[0-9]+u') THEN TRY_CAST(left(v, -1) AS UBIGINT) IS NULL
+      WHEN regexp_matches(v, '^-?[0-9]') THEN coalesce(isinf(TRY_CAST(v AS DOUBLE)), true) ELSE false END)) = 0
+    AND (SELECT count(*) = count(DISTINCT k) FROM (SELECT regexp_replace(unnest(regexp_extract_all(m['tags'], {_quoted(f",({_KEY})={_NAME}")}, 1)), '\\\\([\\\\,= ])', '\\1', 'g') AS k)) AS valid
+  FROM parts
+)
+SELECT request_id, line_no FROM judged WHERE NOT valid
+UNION SELECT w.request_id, 0 FROM writes w LEFT JOIN (SELECT request_id, count(*) FILTER (WHERE valid) AS n FROM judged GROUP BY 1) j USING (request_id)
+WHERE w.lines_written IS NOT NULL AND w.lines_written <> coalesce(j.n, 0)
+"""
 
-@query()
+
+@query(_P1)
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return quarantine.load_report(enough_tasks(table(spark, d, "writes"))).select("request_id", "line_no").distinct()
 
