@@ -215,10 +215,12 @@ class Bins:
         while above:
             r = (above & -above).bit_length() - 1
             shelf = self.shelves[r]
-            for mask in sorted(shelf, key=lambda m: (m & source != 0, m)):
+            if not cluster:
+                mask = next((m for m in shelf if not m & source), None)
+                mask = next(iter(shelf)) if mask is None else mask
+                return r, mask, len(shelf[mask]) - 1
+            for mask in [*(m for m in shelf if not m & source), *(m for m in shelf if m & source)]:
                 line = shelf[mask]
-                if not cluster:
-                    return r, mask, len(line) - 1
                 for at in range(len(line) - 1, -1, -1):
                     if not self.clusters[line[at]] & cluster:
                         return r, mask, at
@@ -246,6 +248,21 @@ class Bins:
         return b, conflict, r
 
 
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """No packing needs fewer bins: an item over half the capacity has a bin of its own, and for every ``k`` what is at
+    least ``k`` must go where the items over ``capacity - k`` are not."""
+    counts = np.bincount(np.asarray(sizes, np.int64), minlength=capacity + 1)[: capacity + 1]
+    many, room = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 1))
+    k = np.arange(capacity // 2 + 1)
+    over_half = many[capacity] - many[capacity // 2]
+    below = np.concatenate([[0], room])[k]  # of items under k
+    between = room[capacity - k] - below  # of items from k to capacity - k
+    half_to = many[capacity - k] - many[capacity // 2]  # items over half that k leaves room beside
+    space = half_to * capacity - (room[capacity - k] - room[capacity // 2])
+    small = between - (room[capacity - k] - room[capacity // 2])
+    return int((over_half + np.maximum(0, -(-(small - space) // capacity))).max()) if len(sizes) else 0
+
+
 def best_fit(sizes: list[int], clusters: list[int], sources: list[int], capacity: int) -> tuple[list[int], list[bool]]:
     """Bin of each item, and whether it shares the bin with a copy: the better of two orders, both largest first."""
     least = -(-sum(sizes) // capacity)
@@ -254,13 +271,14 @@ def best_fit(sizes: list[int], clusters: list[int], sources: list[int], capacity
     for c, n in counts.items():
         if n > 1:
             bits[c] = 1 << len(bits)
+    fewest = max(least, least_bins(sizes, capacity))
     best: tuple[list[int], list[bool]] | None = None
     for first in (False, True):
         order = sorted(range(len(sizes)), key=lambda i: (first and -counts[clusters[i]], -sizes[i], clusters[i]))
         placed, conflict = _in_order(order, sizes, clusters, sources, capacity, least, counts, bits)
         if best is None or (max(placed, default=0), sum(conflict)) < (max(best[0], default=0), sum(best[1])):
             best = placed, conflict
-        if max(placed, default=0) < least and not any(conflict):
+        if max(placed, default=-1) < fewest and not any(conflict):
             break  # no order needs fewer bins
     return best
 
