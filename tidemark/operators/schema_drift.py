@@ -15,8 +15,11 @@ compared exactly.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.plans.ranking import carry_last, with_position
 from tidemark.session import cut_lineage
@@ -26,6 +29,8 @@ TABLE = ["db_name", "table_name"]
 SEP = "\u0001"
 #: Declared types and the Spark types they are projected to. Fixed values.
 SPARK_TYPES = {"F64": "double", "I64": "bigint", "U64": "decimal(20,0)", "String": "string", "Bool": "boolean", "Time": "bigint"}
+#: The columns that every row of the wide table has.
+WIDE = [*TABLE, "_file_id", "_row_no", "_failed"]
 
 
 def ordered_files(files: DataFrame, columns: DataFrame, role: str, statistics: DataFrame | None = None) -> DataFrame:
@@ -205,11 +210,40 @@ def consistent_rows(records: DataFrame, files: DataFrame, columns: DataFrame) ->
     return whole.join(_tables(files).drop("place"), "file_id", "left").select(*TABLE, "file_id", "row_no", "values", "failed")
 
 
-def wide_table(rows: DataFrame, columns: DataFrame, db: str, name: str) -> DataFrame:
-    """One database table of :func:`consistent_rows` as typed columns. Only its column names come to the driver."""
+def wide_names(columns: DataFrame) -> list[tuple[str, str, str]]:
+    """(column, target, label): every consistent column of any database table, and its name in :func:`wide_rows`.
+
+    A column that all tables spell and type alike keeps its name. Tables that do not agree each have a column of their
+    own, as ``name:target``, numbered where names differ by case only. Only these names come to the driver.
+    """
+    known = sorted((r["column"], r["target"]) for r in columns.select("column", "target").distinct().collect())
+    # Spark takes names that differ by case only for one column.
+    fold = lambda name: name.upper().lower()
+    held = Counter([fold(column) for column, _ in known] + WIDE)
+    taken, names = set(held), []
+    for column, target in known:
+        label, n = column, 1
+        if held[fold(column)] > 1:
+            label = f"{column}:{target}"
+            while fold(label) in taken:
+                n += 1
+                label = f"{column}:{target}:{n}"
+            taken.add(fold(label))
+        names.append((column, target, label))
+    return names
+
+
+def wide_rows(records: DataFrame, files: DataFrame, columns: DataFrame) -> DataFrame:
+    """One row per record of every database table, as typed columns: those of :func:`wide_names`, null where a record's
+    table has no such column. ``_failed`` is that of :func:`consistent_rows`, by the names given here."""
     c = F.col
-    mine = (c("db_name") == db) & (c("table_name") == name)
-    known = sorted((r["column"], r["target"]) for r in columns.filter(mine).select("column", "target").distinct().collect())
-    held = F.from_json("values", "map<string,string>")
-    typed = [held[column].cast(SPARK_TYPES.get(target, "string")).alias(column) for column, target in known]
-    return rows.filter(mine).select(c("file_id").alias("_file_id"), c("row_no").alias("_row_no"), *typed, c("failed").alias("_failed"))
+    names = wide_names(columns)
+    labels = columns.sparkSession.createDataFrame(names, "column string, target string, label string")
+    labelled = columns.join(labels, ["column", "target"]).select(*TABLE, "file_id", "name", "start", c("label").alias("column"), "target")
+    # The option keeps a name of any text from being taken for Spark's column of unreadable rows, and the text from
+    # being parsed once for each column.
+    schema = StructType([StructField(label, StringType()) for _, _, label in names])
+    held = F.from_json("values", schema, {"columnNameOfCorruptRecord": SEP}).alias("held")
+    rows = consistent_rows(records, files, labelled).select(*TABLE, "file_id", "row_no", held, "failed")
+    typed = [c("held").getField(label).cast(SPARK_TYPES.get(target, "string")).alias(label) for _, target, label in names]
+    return rows.select(*TABLE, c("file_id").alias("_file_id"), c("row_no").alias("_row_no"), *typed, c("failed").alias("_failed"))

@@ -243,13 +243,10 @@ def p4_consistent(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p4_wide(spark: SparkSession, d: str) -> DataFrame:
-    """The first database table by name as typed columns, with the values that could not be cast."""
+    """Every record of every database table as typed columns, with the values that could not be cast."""
     ordered = _ordered(spark, d)
     columns = cut_lineage(schema_drift.lineages(ordered, schema_drift.schema_changes(ordered)))
-    files = table(spark, d, "parquet_files")
-    rows = schema_drift.consistent_rows(table(spark, d, "file_records"), files, columns)
-    first = files.select("db_name", "table_name").orderBy("db_name", "table_name").first()
-    return schema_drift.wide_table(rows, columns, *(first or ("", "")))
+    return schema_drift.wide_rows(table(spark, d, "file_records"), table(spark, d, "parquet_files"), columns)
 
 
 # 5. Far too many small files
